@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebook.llm import near_dedup
+from tidebook.llm import media, near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_media": media.query,
     "op5_near_dedup": near_dedup.query,
 }
 ORACLE_SQL: dict[str, str] = {}
