@@ -1,7 +1,7 @@
 """Toxic passages by maximum-scoring segments.
 
 Each word scores its log-odds between toxic and clean documents under Dirichlet priors: a word's prior is centred on
-what is known of its first letters (five, then four), so unseen forms of a known stem score too. Two standard errors
+what is known of its first letters (five, then four), so unseen forms of a known stem score too. One and a half standard errors
 and a constant drift are taken off, so words that say nothing score a little below 0. One linear scan over a document
 finds every maximal segment; a segment counts if its score is beyond what the extreme-value law of the clean documents'
 word scores lets expect in a text of that length. The evidence of a document is the sum over such segments, and a
@@ -29,7 +29,7 @@ from tidebook.sources.tables import table
 
 PER_CLASS = 3000
 #: Pseudo-documents of a prior, standard errors taken off, drift of each word, and the law's constant K.
-PRIOR, ERRORS, DRIFT, K = 1.0, 2.0, 0.1, 0.1
+PRIOR, ERRORS, DRIFT, K = 3.0, 1.5, 0.1, 0.1
 #: Expected number of chance segments in a text from which a segment counts.
 CHANCE = 0.2
 STEMS = (4, 5)
@@ -40,11 +40,6 @@ def core(word: str) -> str:
     return word.lower().strip(_EDGES)
 
 
-def forms(word: str) -> list[str]:
-    """The word and its stems, marked by their length: what is counted of it."""
-    return [f"{n}:{word[:n]}" for n in STEMS if len(word) > n] + [word]
-
-
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score), by one scan with a stack of candidates (Ruzzo and Tompa, 1999)."""
     up = np.flatnonzero(scores > 0)
@@ -102,6 +97,12 @@ class Scorer(dict):
         if not words:
             return 0.0, []
         scores = np.fromiter(map(self.__getitem__, words), np.float64, len(words))
+        again: dict[bytes, int] = {}
+        for i in np.flatnonzero(scores > 0).tolist():  # counts are of documents, so a word's next occurrence is worth half
+            w = words[i]
+            if (n := again.get(w, 0)) < 64:
+                again[w] = n + 1
+            scores[i] = (scores[i] + DRIFT) / (1 << n) - DRIFT
         found = [(s, e, K * len(words) * math.exp(-self.lexicon.rate * x)) for s, e, x in segments(scores)]
         found = [x for x in found if x[2] < CHANCE]
         return math.log1p(sum(-math.log(max(x[2], 1e-300) / CHANCE) for x in found)), found
@@ -114,33 +115,31 @@ def _score(t: float, c: float, nt: float, nc: float, parent: float) -> tuple[flo
     return math.log((t + pt) / nt) - math.log((c + pc) / nc), math.sqrt(1 / (t + pt) + 1 / (c + pc))
 
 
-def lexicon(counts: dict[str, tuple[float, float]], nt: float, nc: float, clean_words: float) -> Lexicon:
-    """Scores from document counts (toxic, clean) by word and stem. Without both classes no word scores."""
+def lexicon(counts: dict[str, tuple[float, float]], forms: dict[str, tuple[float, float]], nt: float, nc: float, clean_words: float) -> Lexicon:
+    """Scores from document counts (toxic, clean) by word and counts of word forms by stem. Without both classes no word scores."""
     if not nt or not nc:
         return Lexicon({}, {}, 1.0)
-    odds: dict[str, float] = {}
 
     def shrunk(delta: float, error: float) -> float:
         return math.copysign(max(0.0, abs(delta) - ERRORS * error), delta)
 
+    odds: dict[str, float] = {}
     stems: dict[str, float] = {}
     for n in STEMS:
-        for k, (t, c) in counts.items():
+        for k, (t, c) in forms.items():
             if k.startswith(f"{n}:"):
                 up = f"{STEMS[0]}:{k[2 : 2 + STEMS[0]]}"
-                delta, error = _score(t, c, nt, nc, odds.get(up, 0.0) if n > STEMS[0] else 0.0)
-                odds[k] = delta if (s := shrunk(delta, error)) else 0.0
-                stems[k] = s - DRIFT
+                odds[k] = shrunk(*_score(t, c, nt, nc, odds.get(up, 0.0) if n > STEMS[0] else 0.0))
+                stems[k] = odds[k] - DRIFT
     words = {}
     for k, (t, c) in counts.items():
-        if k[1:2] != ":":
-            parent = next((odds[f"{n}:{k[:n]}"] for n in sorted(STEMS, reverse=True) if f"{n}:{k[:n]}" in odds and len(k) > n), 0.0)
-            words[k] = shrunk(*_score(t, c, nt, nc, parent)) - DRIFT
+        parent = next((odds[x] for n in sorted(STEMS, reverse=True) if len(k) > n and (x := f"{n}:{k[:n]}") in odds), 0.0)
+        words[k] = shrunk(*_score(t, c, nt, nc, parent)) - DRIFT
     # What occurs in clean documents, with a grain for the rest, gives the law: the rate at which high sums grow rare.
     masses: dict[float, float] = {}
     for k, s in words.items():
         if s > -DRIFT:
-            masses[s] = masses.get(s, 0.0) + counts[k][1]
+            masses[s] = masses.get(s, 0.0) + counts[k][1] + 0.1
     top = max([1.0, *masses])
     masses[top] = masses.get(top, 0.0) + 0.5
     total = max(clean_words, sum(masses.values()) + 1)
@@ -163,20 +162,28 @@ class Model:
 
 
 def _counted(picked: DataFrame) -> DataFrame:
-    """form, t0, c0, t1, c1: documents of each half, toxic and clean, that hold a form; '' counts the documents themselves."""
+    """word, t0, c0, t1, c1: documents of each half, toxic and clean, that hold a word; '' counts the documents themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list[int]] = {}
         for batch in batches:
             for y, half, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary()), strict=True):
-                words = {core(w.decode("utf-8", "replace")) for w in set((text.as_py() or b"").split())}
-                for form in {f for w in words if w for f in forms(w)} | {""}:
-                    found.setdefault(form, [0, 0, 0, 0])[2 * half + 1 - y] += 1
+                for word in {core(w.decode("utf-8", "replace")) for w in set((text.as_py() or b"").split())} | {""}:
+                    found.setdefault(word, [0, 0, 0, 0])[2 * half + 1 - y] += 1
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(list(found)), *(pa.array(c, pa.int64()) for c in zip(*found.values(), strict=True))], ["form", "t0", "c0", "t1", "c1"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(found)), *(pa.array(c, pa.int64()) for c in zip(*found.values(), strict=True))], ["word", "t0", "c0", "t1", "c1"])
+
+    counts = picked.select("y", "half", "text").mapInArrow(run, "word string, t0 long, c0 long, t1 long, c1 long")
+    return counts.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("t0", "c0", "t1", "c1")))
+
 
-    counts = picked.select("y", "half", "text").mapInArrow(run, "form string, t0 long, c0 long, t1 long, c1 long")
-    return counts.groupBy("form").agg(*(F.sum(c).alias(c) for c in ("t0", "c0", "t1", "c1")))
+def _stems(counted: DataFrame, halves: tuple[int, ...]) -> DataFrame:
+    """stem, t, c: word forms of each stem, a form counting once in all, shared by the classes that hold it."""
+    t, c = (sum((F.col(f"{k}{i}") for i in halves), F.lit(0)) for k in "tc")
+    seen = counted.where("word <> ''").select("word", t.alias("t"), c.alias("c")).where("t + c > 0")
+    stem = F.explode(F.array(*(F.when(F.length("word") > n, F.concat(F.lit(f"{n}:"), F.substring("word", 1, n))) for n in STEMS)))
+    split = seen.select(stem.alias("stem"), (F.col("t") / (F.col("t") + F.col("c"))).alias("t"), (F.col("c") / (F.col("t") + F.col("c"))).alias("c"))
+    return split.where("stem is not null").groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where("t >= 2")
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> Model:
@@ -184,15 +191,17 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str =
     picked, known = sample(docs, labels, label, per_class)
     picked = scratch.keep(picked.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)).cast("int")), "sample")
     counted = scratch.keep(_counted(picked), "counts")
-    clean_words = counted.where("form <> '' and substring(form, 2, 1) <> ':'").agg(F.sum("c0"), F.sum("c1")).first()
-    documents = counted.where("form = ''").first()
-    # A form that no toxic document holds twice can't score above the drift.
-    kept = {r["form"]: r for r in counted.where("form <> '' and t0 + t1 >= 2").toLocalIterator()}
+    clean_words = counted.where("word <> ''").agg(F.sum("c0"), F.sum("c1")).first()
+    documents = counted.where("word = ''").first()
     if documents is None:
         return Model(Lexicon({}, {}, 1.0), 0.0, 0.0)
-    part = lambda h, x: sum(x[f"{k}{i}"] for i in h for k in ("t",))
-    clean = lambda h, x: sum(x[f"c{i}"] for i in h)
-    lexicons = [lexicon({k: (part(h, r), clean(h, r)) for k, r in kept.items()}, part(h, documents), clean(h, documents), float(sum(clean_words[i] or 0 for i in h))) for h in ((1,), (0,), (0, 1))]
+    # A word of one toxic document, or of clean ones alone, can't score above the drift but by its stem; seen clean it is kept.
+    kept = [r.asDict() for r in counted.where("word <> '' and t0 + t1 >= 2").toLocalIterator()]
+    lexicons = []
+    for halves in ((1,), (0,), (0, 1)):
+        of = lambda k, r, h=halves: sum(r[f"{k}{i}"] for i in h)
+        stems = {r["stem"]: (r["t"], r["c"]) for r in _stems(counted, halves).toLocalIterator()}
+        lexicons.append(lexicon({r["word"]: (of("t", r), of("c", r)) for r in kept}, stems, of("t", documents), of("c", documents), float(sum(clean_words[i] or 0 for i in halves))))
     sent = spark.sparkContext.broadcast(lexicons[:2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
