@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebook.llm import media, mixing, near_dedup, quality, toxicity
+from tidebook.llm import media, mixing, near_dedup, packing, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.query,
     "op2_mixing": mixing.query,
     "op3_media": media.query,
     "op5_near_dedup": near_dedup.query,
+    "op6_packing": packing.query,
+    "op7_sharding": sharding.query,
     "op9_toxicity": toxicity.query,
 }
 ORACLE_SQL: dict[str, str] = {}
