@@ -12,8 +12,11 @@ Plan, for any size of input:
    values, so each list needs only a prefix of every sketch (prefix filter): values of passages that many documents
    share are passed over, and values of one class alone are never listed.
 3. Each list is paired with one hub, the class whose sketch is best connected, and the verified links are contracted.
-4. Pairs in a list whose classes are still in different components are compared in blocks, the largest component of a
-   list once against the few outside it. No list is emitted as all its pairs, and none is capped.
+4. What lists with one hub hold is the hub's ball; any two linked classes lie in one ball. Where a ball has several
+   components, each of its sets is split exactly into what it shares with the hub and the rest. Two sets share at most
+   the lesser of their parts in the hub and what their rests share, so rests say which pairs may still be linked. They
+   are compared in blocks, the largest component of a ball against the few outside it. No list and no ball is emitted
+   as all its pairs, and none is capped.
 
 With k = 64 and similarity 0.8 a linked pair shares 32 retained values or more but for about one pair in 10^7; sets of
 at most 51 shingles are compared exactly.
@@ -166,46 +169,73 @@ def _links(scratch: Scratch, pairs: DataFrame, reps: DataFrame, texts: DataFrame
     return scratch.keep(sure.unionByName(_verified(unsure, texts, width, similarity)), f"{name}-links")
 
 
+def _rests(ball: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """Rows (hub, rep, comp, main, ...) of ``ball`` with n, the set's size, ``part``, what of it the hub holds, and ``rest``."""
+    text = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    rows = ball.join(text.select(F.col("id").alias("rep"), F.col("text").alias("tb")), "rep").join(text.select(F.col("id").alias("hub"), F.col("text").alias("ta")), "hub")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, last, of = WordHashes(), None, None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                piece = batch.slice(at, 1024)
+                n, part, rest = [], [], []
+                for x, y in zip(piece.column("ta").cast(pa.large_binary()), piece.column("tb").cast(pa.large_binary()), strict=True):
+                    x = x.as_py()
+                    if x != last:
+                        last, of = x, shingle_set(x, width, known)
+                    mine = shingle_set(y.as_py(), width, known)
+                    rest.append(np.setdiff1d(mine, of, assume_unique=True))
+                    n.append(len(mine))
+                    part.append(len(mine) - len(rest[-1]))
+                kept = [piece.column(c) for c in ("hub", "rep", "comp", "m", "outside", "out")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64()), pa.array(part, pa.int64()), pa.array(rest, pa.list_(pa.int64()))], ["hub", "rep", "comp", "m", "outside", "out", "n", "part", "rest"])
+
+    columns = ["hub", "rep", "comp", "m", "outside", "out", "ta", "tb"]
+    return rows.select(*columns).mapInArrow(run, "hub long, rep long, comp long, m long, outside long, out boolean, n long, part long, rest array<long>")
+
+
 def _compare_block(similarity: float):
-    """Pairs between the rows of one block marked ``out`` and all its rows, of different components and alike enough."""
+    """Pairs of the rows of one block marked ``asked`` and all its rows, of different components, that may be linked."""
+    share = similarity / (1 + similarity)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["rep", "out"]).reset_index(drop=True)
-        rep, comp, n = (pdf[c].to_numpy(np.int64) for c in ("rep", "comp", "n"))
-        out = pdf["out"].to_numpy(bool)
-        lists = [np.asarray(x, np.int64) for x in pdf["sketch"]]
+        pdf = pdf.drop_duplicates(["rep", "asked"]).reset_index(drop=True)
+        rep, comp, n, part = (pdf[c].to_numpy(np.int64) for c in ("rep", "comp", "n", "part"))
+        asked = pdf["asked"].to_numpy(bool)
+        lists = [np.asarray(x, np.int64) for x in pdf["rest"]]
         flat, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
         order = np.argsort(flat, kind="stable")
         values, who = flat[order], owner[order]
-        a, b = [], []
-        for i in np.flatnonzero(out):
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for i in np.flatnonzero(asked):
             lo, hi = np.searchsorted(values, lists[i], "left"), np.searchsorted(values, lists[i], "right")
-            shared = np.bincount(np.concatenate([who[x:y] for x, y in zip(lo, hi, strict=True)]), minlength=len(rep))
-            small, large = np.minimum(n, n[i]), np.maximum(n, n[i])
-            least = np.minimum(SKETCH // 2, np.ceil(small * similarity / 2))
-            fit = (comp != comp[i]) & (shared >= least) & (small >= large * similarity - 1e-9)
-            found = np.flatnonzero(fit)
+            common = np.bincount(np.concatenate([np.empty(0, np.int64), *(who[x:y] for x, y in zip(lo, hi, strict=True))]), minlength=len(rep))
+            need = np.ceil(share * (n + n[i]) - 1e-9)
+            found = np.flatnonzero((comp != comp[i]) & (np.minimum(part, part[i]) + common >= need) & (np.minimum(n, n[i]) >= need))
             a.append(np.minimum(rep[found], rep[i]))
             b.append(np.maximum(rep[found], rep[i]))
-        return pd.DataFrame({"a": np.concatenate(a) if a else np.empty(0, np.int64), "b": np.concatenate(b) if b else np.empty(0, np.int64)}).drop_duplicates()
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
 
     return run
 
 
-def _rest(scratch: Scratch, listed: DataFrame, labels: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of one list but of different components, by blocks of BLOCK rows."""
-    comp = listed.select("value", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).select("value", "rep", "comp")
-    comp = scratch.keep(comp, "labelled")
-    mixed = comp.groupBy("value").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("value", "m")
-    sizes = comp.join(mixed, "value").groupBy("value", "m", "comp").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("value", "m").agg(F.max(F.struct("c", "comp")).alias("top")).select("value", "m", F.col("top.comp").alias("main"), (F.col("m") - F.col("top.c")).alias("outside"))
-    rows = comp.join(main, "value").withColumn("out", F.col("comp") != F.col("main"))
-    rows = rows.withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("outs", F.ceil(F.col("outside") / BLOCK))
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    sent = rows.select("value", "rep", "comp", F.lit(False).alias("out"), mine.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("outs") - 1)).alias("j"))
-    asked = rows.where("out").select("value", "rep", "comp", "out", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"), F.pmod(F.xxhash64("rep"), F.col("outs")).alias("j"))
-    full = sent.unionByName(asked).join(reps, "rep")
-    return full.groupBy("value", "i", "j").applyInPandas(_compare_block(similarity), "a long, b long").distinct()
+def _rest(scratch: Scratch, ball: DataFrame, labels: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of one ball but of different components that may be linked, from blocks of BLOCK rows."""
+    named = ball.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("hub", "rep", F.coalesce("component", "rep").alias("comp"))
+    named = scratch.keep(named, "balls")
+    sizes = named.groupBy("hub", "comp").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("hub").agg(F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("k")).where("k > 1")
+    main = main.select("hub", "m", F.col("top.comp").alias("main"), (F.col("m") - F.col("top.c")).alias("outside"))
+    mixed = named.join(main, "hub").withColumn("out", F.col("comp") != F.col("main"))
+    rows = scratch.keep(_rests(mixed, docs, width), "rests")
+    blocks, outs = F.ceil(F.col("m") / BLOCK), F.ceil(F.col("outside") / BLOCK)
+    mine = F.pmod(F.xxhash64("rep"), blocks)
+    upto = lambda x: F.explode(F.sequence(F.lit(0).cast("long"), x - 1))
+    data = ["rep", "comp", "n", "part", "rest"]
+    sent = rows.select("hub", *data, F.lit(False).alias("asked"), mine.alias("i"), upto(outs).alias("j"))
+    asking = rows.where("out").select("hub", *data, F.lit(True).alias("asked"), F.pmod(F.xxhash64("rep"), outs).alias("j"), upto(blocks).alias("i"))
+    return sent.unionByName(asking).groupBy("hub", "i", "j").applyInPandas(_compare_block(similarity), "a long, b long").distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -228,10 +258,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, simila
     full = scratch.keep(full, "class-sketches")
     listed = scratch.keep(_prefixes(full, similarity), "lists")
     hubs = listed.groupBy("value").agg(F.max_by("rep", F.struct("weight", F.negative("rep"))).alias("hub"))
-    star = listed.join(hubs, "value").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    ball = scratch.keep(listed.join(hubs, "value").select("hub", "rep").distinct(), "hubs")
+    star = ball.where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     links = _links(scratch, star, full, docs, width, similarity, "star")
     labels = components(spark, scratch, links)
-    more = _rest(scratch, listed, labels, full, similarity)
+    more = _rest(scratch, ball, labels, docs, width, similarity)
     more = _links(scratch, more, full, docs, width, similarity, "rest")
     if not is_empty(more):
         labels = components(spark, scratch, links.unionByName(more))
