@@ -21,6 +21,7 @@ WIDTH, MAX_SIDE = 64, 16384
 #: Longest prefix code that the encoder writes, and lengths that one back-reference can take.
 CODE_BITS, MAX_RUN = 12, 4096
 WINDOW = 1 << 15
+_EIGHT = np.arange(8, dtype=np.int32)
 
 # Fixed values of the format.
 CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -200,6 +201,8 @@ def _by_windows(bits: Bits, width: int, height: int, group: tuple[Code, ...]) ->
     if green.only is not None and not rest and green.only < 256:
         out[:] = base | green.only << 8
         return out
+    backs = green.only is None and bool((green.syms > 255).any()) or (green.only or 0) > 255
+    packed = green.syms | green.lens << 16
     while at < total:
         first = bits.pos >> 3
         part = data[first : first + WINDOW + 16]
@@ -207,35 +210,46 @@ def _by_windows(bits: Bits, width: int, height: int, group: tuple[Code, ...]) ->
         d = np.zeros(n + 24, np.int32)
         d[:n] = part
         d = d[:-2] | d[1:-1] << 8 | d[2:] << 16
-        v = (d[:, None] >> np.arange(8, dtype=np.int32)).ravel()
-        limit = 8 * min(n, WINDOW)
-        look = v & green.mask
-        syms = green.syms[look]
-        ends = np.arange(len(v), dtype=np.int32) + green.lens[look]
+        v = (d[:, None] >> _EIGHT).ravel()
+        limit, zero, p = 8 * min(n, WINDOW), 8 * first, bits.pos - 8 * first
+        here = np.arange(len(v), dtype=np.int32)
+        look = packed[v & green.mask]
+        syms = look & 0xFFFF
+        ends = here + (look >> 16)
         starts = []
         for c, _ in rest:
-            ends = np.minimum(ends, len(v) - 1)
+            np.minimum(ends, len(v) - 1, out=ends)
             starts.append(ends)
             ends = ends + c.lens[v[ends] & c.mask]
-        ends[syms > 255] = -1
-        follow, p, zero = ends[:limit].tolist(), bits.pos - 8 * first, 8 * first
+        # A back-reference, and what lies beyond the window, leads to itself.
+        ends[limit:] = here[limit:]
+        if backs:
+            ends = np.where(syms > 255, here, ends)
+        leap = ends[ends]
+        leap = leap[leap]
+        leap = leap[leap]
+        jump = memoryview(leap)
         while at < total and p < limit:
-            found: list[int] = []
-            add, q = found.append, 0
-            if green.only is None or rest:
-                while p < limit:
-                    q = follow[p]
-                    if q < 0:
-                        break
-                    add(p)
-                    p = q
-            idx = np.array(found[: total - at], np.int64)
+            anchors, q, most = [], p, -1 if green.only is not None and not rest else (total - at) // 8 + 1
+            while most > 0 and (to := jump[q]) != q:
+                anchors.append(q)
+                q, most = to, most - 1
+            steps = np.empty((len(anchors), 8), np.int32)
+            col = np.array(anchors, np.int32)
+            for i in range(8):
+                steps[:, i] = col
+                col = ends[col]
+            idx = steps.ravel()
+            if len(idx) and ends[idx[-1]] == idx[-1]:  # the last leap ran into its end
+                idx = idx[: len(idx) - 8 + int(np.argmax(ends[idx[-8:]] == idx[-8:]))]
+            idx = idx[: total - at]
             pixels = syms[idx].astype(np.uint32) << np.uint32(8) | np.uint32(base)
             for (c, shift), s in zip(rest, starts, strict=True):
                 pixels |= c.syms[v[s[idx]] & c.mask].astype(np.uint32) << np.uint32(shift)
             out[at : at + len(idx)] = pixels
             at += len(idx)
-            if q < 0 and at < total:
+            p = q
+            if at < total and p < limit and syms[p] > 255:
                 bits.pos = zero + p
                 s = bits.symbol(green)
                 if s > 279:
