@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebook.llm import media, mixing, near_dedup, packing, quality, sharding, toxicity
+from tidebook.llm import exact_topk, licenses, media, mixing, near_dedup, packing, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.query,
     "op2_mixing": mixing.query,
     "op3_media": media.query,
+    "op4_exact_topk": exact_topk.query,
     "op5_near_dedup": near_dedup.query,
     "op6_packing": packing.query,
     "op7_sharding": sharding.query,
     "op9_toxicity": toxicity.query,
+    "op10_license_scan": licenses.query,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op4_exact_topk": exact_topk.SQL,
+    "op10_license_scan": licenses.SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
