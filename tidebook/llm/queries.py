@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebook.llm import exact_topk, licenses, media, mixing, near_dedup, packing, quality, sharding, toxicity
+from tidebook.llm import exact_topk, html_text, licenses, media, mixing, near_dedup, packing, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.query,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_dedup": near_dedup.query,
     "op6_packing": packing.query,
     "op7_sharding": sharding.query,
+    "op8_html_text": html_text.query,
     "op9_toxicity": toxicity.query,
     "op10_license_scan": licenses.query,
 }
