@@ -1 +1 @@
-
+"""Operators of the ledger and of its measurements."""
