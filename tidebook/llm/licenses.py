@@ -1,6 +1,6 @@
 """License scans: lines and whole texts compared with licence templates by the Dice coefficient over word bigrams.
 
-DataFrame functions alone. A unit is a line or the whole text, in lower case, words being runs of letters and digits. A
+DataFrame functions alone; bigrams travel as 64-bit hashes. A unit is a line or the whole text, in lower case, words being runs of letters and digits. A
 coefficient of THRESHOLD needs bigram counts within a factor of (2 - THRESHOLD) / THRESHOLD, so each unit meets only
 templates of fitting size, by an equi-join on the count with a table that lists every fitting size of every template;
 a unit that shares no bigram with any template is passed over before. The templates are a fixed list, so what is
@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,9 +47,27 @@ def fitting_sizes(n: int, threshold: float) -> range:
     return range(math.ceil(n * threshold / (2 - threshold) - 1e-9), math.floor(n * (2 - threshold) / threshold + 1e-9) + 1)
 
 
-def _bigrams(words: Column) -> Column:
-    follow = F.transform(words, lambda x, i: F.concat(x, F.lit(" "), F.get(words, i + 1)))
-    return F.array_sort(F.array_distinct(F.filter(follow, lambda x: x.isNotNull())))
+#: Words of a text whose distinct bigrams are counted first: if they are too many for any template, so are the text's.
+FIRST_WORDS = 400
+
+
+def _hashed(words: Column) -> Column:
+    """64-bit hashes of the distinct bigrams of an array of words."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.xxhash64(F.concat(a, F.lit(" "), b))))
+
+
+def _units(lines: Column, most: int) -> Column:
+    """Bigrams of each line, an array of words, and of the lines together. Lambdas name arrays, so each is made once."""
+    one = lambda c, f: F.get(F.transform(F.array(c), f), 0)
+    full = lambda c: F.filter(c, lambda w: w != "")
+    whole = lambda a: F.when(F.size(_hashed(full(F.slice(F.flatten(a), 1, FIRST_WORDS)))) <= most, one(full(F.flatten(a)), _hashed)).otherwise(F.array().cast("array<bigint>"))
+    return one(lines, lambda a: F.concat(F.transform(a, _hashed), F.array(whole(a))))
+
+
+def _signed(x: int) -> int:
+    """As Spark's xxhash64, whose seed is 42, gives it."""
+    return x - (1 << 64) if x >> 63 else x
 
 
 def license_scan(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, str] | None = None) -> DataFrame:
@@ -61,19 +80,21 @@ def license_scan(spark: SparkSession, docs: DataFrame, threshold: float = THRESH
     """
     known = {k: template_bigrams(v) for k, v in (templates or TEMPLATES).items()}
     sizes = [(n, k, b) for k, b in known.items() if b for n in fitting_sizes(len(b), threshold)]
-    fits = spark.createDataFrame(sizes, "n int, license string, template array<string>")
-    every = F.array(*(F.lit(x) for x in sorted({x for b in known.values() for x in b})))
+    hashed = lambda c: F.transform(c, lambda x: F.xxhash64(x))
+    fits = spark.createDataFrame(sizes, "n int, license string, template array<string>").withColumn("template", hashed("template"))
+    every = sorted({_signed(xxhash.xxh64_intdigest(x, seed=42)) for b in known.values() for x in b})
     least, most = min((x[0] for x in sizes), default=1), max((x[0] for x in sizes), default=0)
-    clean = F.regexp_replace(F.lower(F.col("text").cast("string")), r"[^\p{L}\p{N}\n]+", " ")
-    lines = F.split(clean, "\n")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.array_distinct(F.concat(lines, F.array(F.regexp_replace(clean, "\n", " ")))).alias("units"))
-    units = rows.select("doc_id", F.explode("units").alias("unit")).select("doc_id", F.filter(F.split("unit", " "), lambda x: x != "").alias("words")).where(F.size("words") > least)
-    units = units.withColumn("bigrams", _bigrams(F.col("words"))).withColumn("n", F.size("bigrams")).where(F.col("n").between(least, most)).where(F.arrays_overlap("bigrams", every)).select("doc_id", "bigrams", "n")
+    text = F.lower(F.col("text").cast("string"))
+    lines = F.transform(F.split(F.regexp_replace(text, r"[^\p{L}\p{N}\n]+", " "), "\n"), lambda x: F.split(F.trim(x), " "))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _units(lines, most).alias("units"))
+    # explode_outer: for explode the planner would compute all units once more to drop rows without any
+    units = rows.select("doc_id", F.explode_outer("units").alias("bigrams")).withColumn("n", F.size("bigrams")).where(F.col("n").between(least, most)).where(F.exists("bigrams", lambda x: x.isin(every)))
+    units = units.select("doc_id", F.array_sort("bigrams").alias("bigrams"), "n")
     dice = 2.0 * F.size(F.array_intersect("bigrams", "template")) / (F.col("n") + F.size("template"))
     scored = units.join(F.broadcast(fits), "n").withColumn("dice", dice).where(F.col("dice") >= threshold)
     best = scored.groupBy("doc_id", "bigrams").agg(F.min(F.struct(F.negative("dice").alias("d"), "license")).alias("b")).groupBy("doc_id").agg(F.min("b").alias("b"), F.count("*").alias("n_units"))
     found = best.select(F.col("doc_id").alias("id"), F.col("b.license").alias("license"), F.negative("b.d").alias("dice"), "n_units")
-    ids = rows.select("doc_id").distinct()
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     return ids.join(found, F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", "license", "dice", F.coalesce("n_units", F.lit(0)).alias("n_units"))
 
 
