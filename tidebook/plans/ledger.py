@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidebook.operators import ledger as L
 from tidebook.plans.registry import query
 from tidebook.plans.sql import CLASSIFIED, LEDGER, ORIGINALS, REQUESTS, WALLET, over
-from tidebook.sources.derive import micros, originals, requests
+from tidebook.sources.derive import originals, requests
 from tidebook.sources.tables import table
 
 
@@ -53,17 +53,17 @@ def micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.micro_batches(L.routed(originals(spark, sf_dir)), "shard_id", "arrival_ord", "transaction_at", 256, 36_000_000_000)
 
 
-@query(
-    "l03_ordered_apply",
-    over(
+ORDERED_APPLY = over(
         LEDGER,
         """SELECT c.arrival_ord, c.account_id, c.tx_id, c.transaction_at, CAST(c.shard_id AS INTEGER) AS shard_id,
   CASE c.kind WHEN 'conflict' THEN 'conflict' ELSE 'transaction' END AS reply_kind,
   CASE WHEN c.kind <> 'conflict' THEN l.status END AS status, CASE WHEN c.kind <> 'conflict' THEN l.balance END AS balance,
   CASE WHEN c.kind <> 'conflict' THEN l.seq END AS seq, c.kind = 'replay' AS replayed
 FROM classified c JOIN ledger l ON l.arrival_ord = c.first_ord""",
-    ),
-)
+    )
+
+
+@query("l03_ordered_apply", ORDERED_APPLY)
 def ordered_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.replies(requests(spark, sf_dir))
 
@@ -185,6 +185,3 @@ def counter_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("l00_requests", over(REQUESTS, "SELECT * FROM requests"))
 def all_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(requests(spark, sf_dir))
-
-
-__all__ = ["book", "flat", "micros"]
