@@ -92,18 +92,18 @@ def refund_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("l08_balances", over(LEDGER, "SELECT shard_id, account_id, arg_max(balance, seq) AS balance FROM ledger GROUP BY 1, 2"))
 def balances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.balances(book(spark, sf_dir))
+    return L.balances_after(requests(spark, sf_dir))
 
 
 @query("l09_balance_read", over(LEDGER + ", b AS (SELECT account_id, arg_max(balance, seq) AS balance FROM ledger GROUP BY 1)", "SELECT c_custkey AS account_id, coalesce(balance, 0) AS balance FROM customer LEFT JOIN b ON b.account_id = c_custkey"))
 def balance_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("account_id"))
-    return L.balance_of(L.balances(book(spark, sf_dir)), wanted)
+    return L.balance_of(L.balances_after(requests(spark, sf_dir)), wanted)
 
 
 @query("l10_all_balances", over(LEDGER, "SELECT account_id, arg_max(balance, seq) AS balance FROM ledger GROUP BY 1 ORDER BY 1"))
 def all_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.balances(book(spark, sf_dir)).select("account_id", "balance").orderBy("account_id")
+    return L.balances_after(requests(spark, sf_dir)).select("account_id", "balance").orderBy("account_id")
 
 
 @query("l11_ledger_range", over(LEDGER, "SELECT shard_id, seq, account_id, tx_id, status, balance, row_number() OVER (ORDER BY seq) + 100 AS expected_seq, true AS intact FROM ledger WHERE shard_id = 1 AND seq BETWEEN 101 AND 350"))

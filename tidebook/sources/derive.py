@@ -37,7 +37,7 @@ def originals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The originals, then verbatim retries of every 17th and changed retries of every 19th."""
-    first = originals(spark, sf_dir)
-    again = first.where("arrival_ord % 17 = 0").withColumn("arrival_ord", F.col("arrival_ord") + RETRY)
-    changed = first.where("arrival_ord % 19 = 0").withColumn("arrival_ord", F.col("arrival_ord") + 2 * RETRY).withColumn("amount", F.col("amount") + 1)
-    return first.unionByName(again).unionByName(changed)
+    more = [F.lit(0).cast("long"), F.when(F.col("arrival_ord") % 17 == 0, F.lit(RETRY)), F.when(F.col("arrival_ord") % 19 == 0, F.lit(2 * RETRY))]
+    rows = originals(spark, sf_dir).withColumn("_later", F.explode(F.array_compact(F.array(*more))))
+    changed = F.col("amount") + F.when(F.col("_later") == 2 * RETRY, 1).otherwise(0)
+    return rows.withColumn("arrival_ord", F.col("arrival_ord") + F.col("_later")).withColumn("amount", changed).drop("_later")
