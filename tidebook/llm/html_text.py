@@ -133,10 +133,8 @@ def weights(counts: dict[str, tuple[int, int]]) -> Weights:
     places: dict[str, float] = {}
     tags: dict[str, float] = {}
     for kind, into in (("w", places), ("t", tags)):
-        mine = {k[2:]: v for k, v in counts.items() if k[0] == kind}
-        a, b = sum(v[0] for v in mine.values()), sum(v[1] for v in mine.values())
-        for k, (x, y) in mine.items():
-            score = math.log((x + 1) / (a + len(mine))) - math.log((y + 1) / (b + len(mine)))
+        for k, (x, y) in ((k[2:], v) for k, v in counts.items() if k[0] == kind):
+            score = math.log((x + 0.5) / (y + 0.5))
             into[k] = max(-BOUND, min(BOUND, score)) if kind == "w" else max(-BOUND, min(TAG, score))
     # Excluded text is left out in any case: it hardly parts what stands on its two sides.
     places |= {"i": 0.0, "x": EXCLUDED, "o": -BOUND}

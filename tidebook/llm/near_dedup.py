@@ -51,10 +51,10 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """xxh64 of each word, kept while it is met often enough to pay; emptied when it holds a million words."""
+    """xxh64 of each word, kept while it is met often enough to pay; emptied when it holds 300,000 words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value

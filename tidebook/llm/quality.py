@@ -40,7 +40,7 @@ def _shape(word: str) -> str:
 
 
 class Words(dict):
-    """Word -> its place in the lists of shape and word hashes; emptied at half a million words."""
+    """Word -> its place in the lists of shape and word hashes; emptied at 250,000 words."""
 
     def __init__(self) -> None:
         super().__init__()
@@ -55,7 +55,7 @@ class Words(dict):
         return place
 
     def places(self, words: list[bytes]) -> np.ndarray:
-        if len(self.shapes) > 500_000:
+        if len(self.shapes) > 250_000:
             self.clear()
             self.shapes.clear()
             self.hashes.clear()

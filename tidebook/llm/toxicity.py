@@ -79,14 +79,14 @@ class Lexicon:
 
 
 class Scorer(dict):
-    """Word of a text -> score; emptied at a million words."""
+    """Word of a text -> score; emptied at 300,000 words."""
 
     def __init__(self, lexicon: Lexicon):
         super().__init__()
         self.lexicon = lexicon
 
     def __missing__(self, word: bytes) -> float:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         value = self[word] = self.lexicon.of(core(word.decode("utf-8", "replace")))
         return value
