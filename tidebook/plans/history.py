@@ -22,7 +22,7 @@ HISTORY = LEDGER + f", history AS (SELECT * FROM ledger WHERE seq <= {KNOWN})"
 BATCH = (
     HISTORY
     + """, batch AS (SELECT * REPLACE (CASE WHEN seq = 1450 THEN balance + 1 ELSE balance END AS balance, CASE WHEN operation = 'refund' AND status = 'applied' AND seq % 50 = 7 THEN amount + 1 ELSE amount END AS amount)
-  FROM ledger WHERE seq BETWEEN 1400 AND 1800 AND NOT (shard_id = 2 AND seq = 1600))"""
+  FROM ledger WHERE seq >= 1400 AND NOT (shard_id = 2 AND seq = 1600))"""
 )
 
 
@@ -31,7 +31,7 @@ def known(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = book(spark, sf_dir).where("seq between 1400 and 1800 and not (shard_id = 2 and seq = 1600)")
+    rows = book(spark, sf_dir).where("seq >= 1400 and not (shard_id = 2 and seq = 1600)")
     wrong = (F.col("operation") == "refund") & (F.col("status") == "applied") & (F.col("seq") % 50 == 7)
     return rows.withColumn("balance", F.when(F.col("seq") == 1450, F.col("balance") + 1).otherwise(F.col("balance"))).withColumn("amount", F.when(wrong, F.col("amount") + 1).otherwise(F.col("amount")))
 
@@ -136,11 +136,11 @@ def boundary_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     "w02_late_answers",
     over(
         HISTORY + FOUND,
-        f"SELECT arrival_ord, CASE found WHEN 'exact_replay' THEN 'transaction' WHEN 'conflict' THEN 'conflict' ELSE 'expired' END AS reply_kind, CASE WHEN found = 'exact_replay' THEN hs END AS status, CASE WHEN found = 'exact_replay' THEN hb END AS balance, CASE WHEN found = 'exact_replay' THEN hq END AS seq, found = 'exact_replay' AS historical_replay FROM found WHERE transaction_at < {BOUNDARY + 2_000_000_000_000} AND arrival_ord >= 1000",
+        f"SELECT arrival_ord, CASE found WHEN 'exact_replay' THEN 'transaction' WHEN 'conflict' THEN 'conflict' ELSE 'expired' END AS reply_kind, CASE WHEN found = 'exact_replay' THEN hs END AS status, CASE WHEN found = 'exact_replay' THEN hb END AS balance, CASE WHEN found = 'exact_replay' THEN hq END AS seq, found = 'exact_replay' AS historical_replay FROM found WHERE transaction_at < {BOUNDARY + 2_000_000_000_000}",
     ),
 )
 def late_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    late = requests(spark, sf_dir).where((F.col("transaction_at") < BOUNDARY + 2_000_000_000_000) & (F.col("arrival_ord") >= 1000))
+    late = requests(spark, sf_dir).where(F.col("transaction_at") < BOUNDARY + 2_000_000_000_000)
     return W.late_answers(late, known(spark, sf_dir)).select("arrival_ord", "reply_kind", "status", "balance", "seq", "historical_replay")
 
 

@@ -79,7 +79,19 @@ def interval_sampler(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("hour", "total", delta.alias("delta"), (delta * 1_000_000.0 / (F.col("tm") - F.lag("tm").over(w))).alias("rate"))
 
 
-@query("m07_hash_sample")
+_MUL = "CAST(CAST({} AS UHUGEINT) * {}::UHUGEINT % 18446744073709551616 AS UBIGINT)"
+_M1, _M2 = (lambda x: _MUL.format(x, 13787848793156543929)), (lambda x: _MUL.format(x, 10723151780598845931))
+_MIXED = (
+    SAMPLES
+    + """, h0 AS (SELECT user_id, logical_id, xor(CAST(user_id * 131072 AS UBIGINT), CAST(logical_id AS UBIGINT)) AS x, CAST((CAST(logical_id AS UHUGEINT) + 11400714819323198485::UHUGEINT) % 18446744073709551616 AS UBIGINT) AS y FROM samples),
+h1 AS (SELECT user_id, logical_id, """
+    + f"{_M1('xor(x, x >> 30)')} AS x, {_M1('xor(y, y >> 30)')} AS y FROM h0), h2 AS (SELECT user_id, logical_id, {_M2('xor(x, x >> 27)')} AS x, {_M2('xor(y, y >> 27)')} AS y FROM h1), "
+    + "h3 AS (SELECT user_id, logical_id, xor(x, x >> 31) AS x, xor(y, y >> 31) AS y FROM h2) "
+    + "SELECT user_id, logical_id, 'mixed' AS sample FROM h3 WHERE x % 1024 = 0 UNION ALL SELECT user_id, logical_id, 'stride' FROM h3 WHERE y % 64 = 0"
+)
+
+
+@query("m07_hash_sample", _MIXED)
 def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both samples: by the hash of account and request, and with stride 64."""
     rows = samples(spark, sf_dir).select("user_id", "logical_id")
