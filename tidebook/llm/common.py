@@ -13,6 +13,17 @@ from tidebook.sources.shared import shared_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch at most: texts can be long, and a batch is held by the executor and by its Python worker.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound this session's Arrow batches by BATCH_ROWS, unless they are smaller. Plans read the setting when they run."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 class Scratch:
     """Parquet tables of one run in the shared folder. They cut lineage and outlive any executor."""
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import Scratch
+from tidebook.llm.common import Scratch, small_batches
 from tidebook.sources.tables import table
 
 K, LEAF, SHARD_ROWS, BLOCK_ROWS = 10, 64, 16_384, 1024
@@ -128,6 +128,7 @@ def top_k(spark: SparkSession, embeddings: DataFrame, every: int = 100, k: int =
     Vectors that are null, empty or hold a null, NaN or infinite component take no part. Rows that repeat an id count
     once. An empty table gives no rows. Other columns are ignored.
     """
+    small_batches(spark)
     scratch = Scratch(spark, "topk")
     rows = scratch.keep(as_integers(embeddings).withColumn("dim", F.size("v")), "integers")
     n = rows.count()

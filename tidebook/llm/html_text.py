@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidebook.llm.common import small_batches
 from tidebook.sources.tables import table
 
 SAMPLE = 500
@@ -202,6 +203,7 @@ def extract(spark: SparkSession, pages: DataFrame, sample: int = SAMPLE) -> Data
     and items end where the next begins, unclosed elements end with what holds them. Long pages are read whole, repeated
     rows each for itself, null ids allowed. Without any marked page the priors decide.
     """
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(train(pages, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidebook.llm.common import small_batches
 from tidebook.llm.webp import WIDTH, decode_bytes, encode_bytes
 from tidebook.sources.tables import table
 
@@ -46,6 +47,8 @@ def media_columns(docs: DataFrame, files: bool = True) -> DataFrame:
     rows keep their number, repeated ones and null ids included. Other columns are ignored.
     """
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary())

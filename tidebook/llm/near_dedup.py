@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import Scratch, components, is_empty
+from tidebook.llm.common import Scratch, components, is_empty, small_batches
 from tidebook.sources.tables import table
 
 SKETCH = 64
@@ -247,6 +247,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, simila
     id. Rows are returned as they come: repeated rows each once, and a row without an id takes its class's component
     (null if it has none) and isn't kept. Other columns are ignored. An empty table gives no rows.
     """
+    small_batches(spark)
     scratch = Scratch(spark, "near-dedup")
     docs = docs.select("doc_id", "text")
     one = scratch.keep(sketches(docs, width), "sketches")
@@ -277,3 +278,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, simila
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"), width=4)
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END) AS shingle FROM w
+), n AS (
+  SELECT w.doc_id, count(g.shingle) AS n FROM w LEFT JOIN g ON g.doc_id = w.doc_id GROUP BY 1
+), p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), e AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r(node, root) AS (
+  SELECT doc_id, doc_id FROM n UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node WHERE r.root < e.b
+)
+SELECT n.doc_id, n.n AS n_shingles, min(r.root) AS component_id, n.doc_id = min(r.root) AS kept FROM n JOIN r ON r.node = n.doc_id GROUP BY n.doc_id, n.n
+"""

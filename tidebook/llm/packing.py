@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidebook.llm.common import Scratch
+from tidebook.llm.common import Scratch, small_batches
 from tidebook.sources.tables import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -103,6 +103,7 @@ def pack(spark: SparkSession, docs: DataFrame, length: int = LENGTH, vocabulary:
     several pieces. Documents stand in the order of the input's partitions, repeated rows each for itself; null ids are
     allowed. An empty table gives no pieces.
     """
+    small_batches(spark)
     scratch = Scratch(spark, "packing")
     tokens = scratch.keep(_tokenized(docs, vocabulary), "tokens")
     totals = sorted((r["task"], r["n"]) for r in tokens.groupBy("task").agg(F.sum("n").alias("n")).collect())

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidebook.llm.common import held_out
+from tidebook.llm.common import held_out, small_batches
 from tidebook.llm.labelled import calibrated, probability, sample
 from tidebook.sources.tables import table
 
@@ -162,6 +162,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, counts: dict[int, int]) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> Model:
+    small_batches(docs.sparkSession)
     picked, counts = sample(docs, labels, label, per_class)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,6 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
 
 def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     """The columns of ``docs`` and ``score``; rows keep their number. Null and empty texts have the score of no features."""
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
 

@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": licenses.query,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op5_near_dedup": near_dedup.SQL,
     "op4_exact_topk": exact_topk.SQL,
     "op10_license_scan": licenses.SQL,
 }

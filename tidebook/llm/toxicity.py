@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidebook.llm.common import Scratch, held_out
+from tidebook.llm.common import Scratch, held_out, small_batches
 from tidebook.llm.labelled import calibrated, probability, sample
 from tidebook.sources.tables import table
 
@@ -187,6 +187,7 @@ def _stems(counted: DataFrame, halves: tuple[int, ...]) -> DataFrame:
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> Model:
+    small_batches(spark)
     scratch = Scratch(spark, "toxicity")
     picked, known = sample(docs, labels, label, per_class)
     picked = scratch.keep(picked.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)).cast("int")), "sample")
@@ -221,6 +222,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str =
 def score(spark: SparkSession, docs: DataFrame, model: Model, passages: bool = False) -> DataFrame:
     """The columns of ``docs`` and ``score``, and on request the significant passages: first word, end, and the number
     of such segments that chance makes in a text of that length."""
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
     spans = T.ArrayType(T.StructType([T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType()), T.StructField("by_chance", T.DoubleType())]))
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), *[T.StructField("passages", spans)] * passages])
