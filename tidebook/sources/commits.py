@@ -30,7 +30,7 @@ class Store:
         """The last published one: generation, identity, and the folders of each table."""
         found = self._manifests()
         if not found:
-            return {"generation": 0, "identity": None, "tables": {}}
+            return {"generation": 0, "identity": None, "tables": {}, "meta": {}}
         stream = self.fs.open(self._path(f"{self.root}/manifests/{found[-1]:020d}"))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
@@ -42,8 +42,8 @@ class Store:
         folders = [f"{self.root}/{x}" for x in self.manifest()["tables"].get(name, [])]
         return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
-    def commit(self, identity: str, append: dict[str, DataFrame], replace: dict[str, DataFrame] | None = None) -> bool:
-        """Add and replace rows of tables at once; False if ``identity`` is the last commit's."""
+    def commit(self, identity: str, append: dict[str, DataFrame], replace: dict[str, DataFrame] | None = None, meta: dict | None = None) -> bool:
+        """Add and replace rows of tables, and small metadata, at once; False if ``identity`` is the last commit's."""
         now = self.manifest()
         if now["identity"] == identity:
             return False
@@ -55,7 +55,7 @@ class Store:
         draft, final = self._path(f"{self.root}/drafts/{n:020d}"), self._path(f"{self.root}/manifests/{n:020d}")
         self.fs.mkdirs(final.getParent())
         out = self.fs.create(draft, True)
-        out.write(bytearray(json.dumps({"generation": n, "identity": identity, "tables": tables}).encode()))
+        out.write(bytearray(json.dumps({"generation": n, "identity": identity, "tables": tables, "meta": now.get("meta", {}) | (meta or {})}).encode()))
         out.close()
         if not self.fs.rename(draft, final):
             raise RuntimeError(f"generation {n} was published by another writer")
