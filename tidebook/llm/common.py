@@ -29,24 +29,21 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        self.n = 0
+        self.kept: list[tuple[DataFrame, str]] = []
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n:02d}-{name}"
+        path = f"{self.root}/{len(self.kept):02d}-{name}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        self.kept.append((self.spark.read.schema(df.schema).parquet(path), path))
+        return self.kept[-1][0]
 
-    def path(self, name: str) -> str:
-        self.n += 1
-        return f"{self.root}/{self.n:02d}-{name}"
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete what ``keep`` returned, once nothing reads it any more."""
+    def clear(self, *needed: DataFrame) -> None:
+        """Delete the tables but those ``needed``, once nothing will read the others."""
         jvm = self.spark._jvm
-        for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-            p = jvm.org.apache.hadoop.fs.Path(f)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        for df, path in self.kept:
+            if not any(df is x for x in needed):
+                at = jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def is_empty(df: DataFrame) -> bool:
@@ -82,7 +79,7 @@ def components(spark: SparkSession, scratch: Scratch, edges: DataFrame) -> DataF
         )
         edges = scratch.keep(edges, "edges")
     if not maps:
-        return edges.select(F.col("a").alias("node"), F.col("a").alias("component"))
+        return scratch.keep(edges.select(F.col("a").alias("node"), F.col("a").alias("component")), "components")
     label = maps[-1]
     for earlier in reversed(maps[:-1]):
         label = earlier.join(label.select(F.col("node").alias("to"), F.col("to").alias("last")), "to", "left").select("node", F.coalesce("last", "to").alias("to"))

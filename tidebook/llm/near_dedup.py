@@ -267,6 +267,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, simila
     more = _links(scratch, more, full, docs, width, similarity, "rest")
     if not is_empty(more):
         labels = components(spark, scratch, links.unionByName(more))
+    scratch.clear(one, reps, labels)
     classes = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     return (
         one.select("doc_id", "n_shingles", "set_key")

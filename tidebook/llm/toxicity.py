@@ -212,6 +212,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], ["doc_id", "y", "m"])
 
     rows = picked.select("doc_id", "y", "half", "text").mapInArrow(run, "doc_id long, y int, m double").toArrow().sort_by([("doc_id", "ascending")])
+    scratch.clear()
     y, margins = np.asarray(rows.column("y").to_pylist(), np.int64), np.asarray(rows.column("m").to_pylist(), np.float64)
     if len(set(y.tolist())) < 2:
         n1, n0 = known.get(1, 0), known.get(0, 0)
