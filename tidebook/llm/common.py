@@ -32,6 +32,9 @@ class Scratch:
         self.kept: list[tuple[DataFrame, str]] = []
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
+        # Shuffle files go when the driver's JVM collects the frames that made them. It may be long in no need to,
+        # while executors' disks fill; nothing refers to the frames of earlier tables any more.
+        self.spark._jvm.System.gc()
         path = f"{self.root}/{len(self.kept):02d}-{name}"
         df.write.parquet(path)
         self.kept.append((self.spark.read.schema(df.schema).parquet(path), path))
