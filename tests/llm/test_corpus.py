@@ -184,6 +184,13 @@ def test_unmarked_pages(spark):
     assert got["text"] == "Title\nSome words to read here.\nAnd some more of them."
 
 
+def test_article_of_a_teaser_does_not_decide(spark):
+    page = "<body><div class='content'><h1>Title</h1><p>Some words to read here.</p><p>And some more of them.</p></div><article><p>A card.</p></article></body>"
+    rows = [(i, "u", PAGE) for i in range(5)] + [(9, "u", page)]
+    got = html_text.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).where("page_id = 9").first()
+    assert "Some words to read here." in got["text"] and "And some more of them." in got["text"]
+
+
 def dice(text, template):
     def bigrams(x):
         return set(licenses.template_bigrams(x))

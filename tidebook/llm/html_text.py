@@ -3,7 +3,8 @@
 A page is a sequence of tags and runs of words. Words score what their place (element and class, in a link or not) is
 worth, tags cost a little or more; one linear scan finds the contiguous region of highest sum. The weights are log-odds
 of being inside or outside the article, counted on pages that mark it themselves by <article> or <main>; places that
-no such page shows take a prior. Elements that never hold main text (menus, forms, notices, comments, by name, role or
+no such page shows take a prior. These tags are labels of the counting only: where a page's text is taken from is
+decided by the weights alone. Elements that never hold main text (menus, forms, notices, comments, by name, role or
 class) cost, and are left out of the region's text.
 
 Weights come from at most ``sample`` marked pages; pages are then read one by one without a shuffle.
@@ -65,12 +66,11 @@ def _place(name: str, attributes: str) -> str:
 def tokens(html: str) -> list[tuple[str, str, bool, int]]:
     """(kind, value, inside, words): kind 't' for a tag (its value starts with '/' for an end), 'w' for text in a place.
 
-    The place is 'i' in an excluded element of a marked article, 'o' outside the article of a page that marks one, and
-    'x' in an excluded element of another page; ``inside`` says that a token is of a marked article. Values of text tokens are 'place\\ntext'.
+    The place in an excluded element is 'x' and the name of the outermost such element; ``inside`` says that a token is
+    of an <article> or <main>, which is the label of the counting. Values of text tokens are 'place\\ntext'.
     """
     out: list[tuple[str, str, bool, int]] = []
-    stack: list[tuple[str, bool, str, bool]] = []  # name, excluded, place, inside
-    marked = False
+    stack: list[tuple[str, str, str, bool]] = []  # name, excluded by, place, inside
     for m in TOKEN.finditer(html or ""):
         name = m[3]
         if name is None:
@@ -78,9 +78,9 @@ def tokens(html: str) -> list[tuple[str, str, bool, int]]:
             if text[0] == "<" and len(text) > 1 or m[1]:
                 continue
             text = unescape(text) if "&" in text else text
-            top = stack[-1] if stack else ("", False, "body", False)
+            top = stack[-1] if stack else ("", "", "body", False)
             link = "+a" if any(x[0] == "a" for x in stack[-4:]) else ""
-            out.append(("w", f"{('i' if top[3] else 'x') if top[1] else top[2] + link}\n{text}", top[3] and not top[1], len(text.split())))
+            out.append(("w", f"{'x ' + top[1] if top[1] else top[2] + link}\n{text}", top[3], len(text.split())))
             continue
         name = name.lower()
         if m[2]:
@@ -96,19 +96,14 @@ def tokens(html: str) -> list[tuple[str, str, bool, int]]:
                     break
                 if stack[i][0] in BLOCK:
                     break
-        top = stack[-1] if stack else ("", False, "body", False)
-        gone = _excluded(name, m[4])
+        top = stack[-1] if stack else ("", "", "body", False)
+        gone = name if _excluded(name, m[4]) else ""
         inside = top[3] or name in MARKED and not gone and not (top[1] and any(x[0] in NEVER for x in stack))
-        if name in MARKED and inside:
-            marked, gone = True, False
-        else:
-            gone = gone or top[1]
+        gone = top[1] or gone
         out.append(("t", name, inside, 0))
         if name not in VOID and not m[4].endswith("/"):
             place = _place(name, m[4]) if name in BLOCK else top[2]
             stack.append((name, gone, place, inside))
-    if marked:
-        out = [(k, "o\n" + v.partition("\n")[2], i, n) if k == "w" and not i and v[:2] != "i\n" else (k, v, i, n) for k, v, i, n in out]
     return out
 
 
@@ -124,7 +119,9 @@ class Weights:
             return 0.0
         place = value.partition("\n")[0]
         known = self.places.get(place)
-        if known is None:
+        if known is None and place[:2] == "x ":
+            known = EXCLUDED
+        elif known is None:
             known = self.places.get(place.partition("+")[0].partition(".")[0], UNSEEN) - (1.0 if "+a" in place else 0.0)
         return known * words
 
@@ -136,9 +133,9 @@ def weights(counts: dict[str, tuple[int, int]]) -> Weights:
     for kind, into in (("w", places), ("t", tags)):
         for k, (x, y) in ((k[2:], v) for k, v in counts.items() if k[0] == kind):
             score = math.log((x + 0.5) / (y + 0.5))
-            into[k] = max(-BOUND, min(BOUND, score)) if kind == "w" else max(-BOUND, min(TAG, score))
-    # Excluded text is left out in any case: it hardly parts what stands on its two sides.
-    places |= {"i": 0.0, "x": EXCLUDED, "o": -BOUND}
+            # Excluded text is left out in any case: it hardly parts what stands on its two sides.
+            low, high = (-BOUND, TAG) if kind == "t" else (EXCLUDED, 0.0) if k[:2] == "x " else (-BOUND, BOUND)
+            into[k] = max(low, min(high, score))
     return Weights(places, tags)
 
 
@@ -169,7 +166,7 @@ def main_text(html: str, known: Weights) -> str:
                 parts.append(" ")
         else:
             place, _, text = value.partition("\n")
-            if place in ("i", "x", "o") or known.places.get(place, 0.0) < 0 and "+a" not in place:
+            if place[:2] == "x " or known.places.get(place, 0.0) < 0 and "+a" not in place:
                 continue
             parts.append(text if words else " ")
     flush()
