@@ -216,6 +216,28 @@ def test_license_scan_against_brute_force(spark):
     assert licenses.license_scan(spark, rows.limit(0)).count() == 0
 
 
+def test_wrapped_notices_inside_long_documents(spark):
+    def wrapped(text, by=9):
+        words = text.split()
+        return "\n".join("# " + " ".join(words[i : i + by]) for i in range(0, len(words), by))
+
+    prose = "\n".join(f"line {i} of words that no licence has at all" for i in range(400))
+    named = ["Apache-2.0-header", "GPL-3.0-header", "MIT-text", "MPL-2.0"]
+    texts = [f"{prose}\n{wrapped(licenses.TEMPLATES[k])}\n{prose}" for k in named]
+    texts += [f"{prose}\n{licenses.TEXTS[k]}\n{prose}" for k in sorted(licenses.TEXTS)]
+    texts += [prose, f"{prose} Before it. {licenses.TEMPLATES['ISC']} And after it. {prose}", f"{texts[0]}\n{texts[2]}"]
+    got = {r["doc_id"]: (r["license"], r["dice"], r["n_units"]) for r in licenses.license_scan(spark, docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    known = {**licenses.TEMPLATES, **licenses.TEXTS}
+    for i, k in enumerate([*named, *sorted(licenses.TEXTS)]):
+        assert got[i][0].split("-")[0] == k.split("-")[0] and 0.9 < got[i][1] <= 1 and got[i][2] >= 1, (k, got[i])  # some texts hold a notice in full
+    assert [got[i][2] for i in range(4)] == [2, 1, 1, 1]  # a line of the first is near the short notice
+    n = len(texts)
+    assert got[n - 3] == (None, None, 0) and got[n - 2][0] == "ISC" and got[n - 1][2] == 3
+    for k, b in licenses.anchors({k: licenses.template_bigrams(v) for k, v in known.items()}, 0.7).items():
+        size = len(licenses.template_bigrams(known[k]))
+        assert size - len(b) < 0.7 * size / 1.3 <= size - len(b) + 1
+
+
 def test_license_scan_is_native(spark):
     rows = docs_of(spark, [(1, "Released under the MIT License.", "s")])
     plan = licenses.license_scan(spark, rows)._jdf.queryExecution().toString()
