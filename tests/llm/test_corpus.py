@@ -191,6 +191,14 @@ def test_article_of_a_teaser_does_not_decide(spark):
     assert "Some words to read here." in got["text"] and "And some more of them." in got["text"]
 
 
+@pytest.mark.parametrize("wrapper", ["layout sidebar-right", "page header-fixed"])
+def test_class_words_do_not_empty_a_wrapper(spark, wrapper):
+    page = f"<body><div class='header'>Site</div><div class='{wrapper}'><div class='nav-menu'><a>Home</a></div><div class='content'><h1>Title</h1><p>Some words to read here.</p></div><div class='sidebar'><p>not this one</p></div></div></body>"
+    rows = [(i, "u", PAGE) for i in range(5)] + [(9, "u", page)]
+    got = html_text.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).where("page_id = 9").first()
+    assert got["text"].split() == "Title Some words to read here.".split()
+
+
 def dice(text, template):
     def bigrams(x):
         return set(licenses.template_bigrams(x))

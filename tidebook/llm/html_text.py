@@ -42,18 +42,21 @@ MARKS = frozenset(
 MARKED = ("article", "main")
 #: Weights of places that no marked page shows, the least cost of a tag, and the bounds of a weight.
 UNSEEN, EXCLUDED, TAG, BOUND = 0.5, -0.3, -0.02, 3.0
+#: Share of a page's words from which an element with a marking class is a wrapper of the page.
+WRAPPER = 0.9
 
 
-def _excluded(name: str, attributes: str) -> bool:
+def _excluded(name: str, attributes: str) -> str:
+    """Whether an element is left out: by what it is or as hidden ('name'), by words of its class, id or role ('mark'), or not ('')."""
     if name in NEVER:
-        return True
+        return "name"
     if name in ("html", "body", "main") or not attributes:
-        return False
+        return ""
     found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
     words = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", " ".join(found.get(k, "") for k in ("class", "id", "role"))).lower())
-    if MARKS.intersection(words) and not {"has", "with", "no", "without"}.intersection(words):
-        return True
-    return found.get("aria-hidden") == "true" or bool(re.search(r"(?<![\w-])hidden(?![\w-])|display\s*:\s*none", attributes))
+    if found.get("aria-hidden") == "true" or re.search(r"(?<![\w-])hidden(?![\w-])|display\s*:\s*none", attributes):
+        return "name"
+    return "mark" if MARKS.intersection(words) and not {"has", "with", "no", "without"}.intersection(words) else ""
 
 
 def _place(name: str, attributes: str) -> str:
@@ -63,14 +66,35 @@ def _place(name: str, attributes: str) -> str:
     return name
 
 
+def _wrappers(found: list[tuple[int, tuple[int, ...], int]]) -> set[int]:
+    """Elements with a marking class, id or role that hold nearly all of what the page has to read, the largest first.
+
+    ``found``: of each text the marked elements around it, from outside, and its words.
+    """
+    held: dict[int, int] = {}
+    for _, chain, words in found:
+        for x in chain:
+            held[x] = held.get(x, 0) + words
+    out: set[int] = set()
+    for x in sorted(held, key=lambda x: (-held[x], x)):
+        free = sum(words for _, chain, words in found if x not in chain and out.issuperset(chain))
+        if not held[x] or held[x] < WRAPPER * (held[x] + free):
+            break  # what is smaller holds no more of them
+        out.add(x)
+    return out
+
+
 def tokens(html: str) -> list[tuple[str, str, bool, int]]:
     """(kind, value, inside, words): kind 't' for a tag (its value starts with '/' for an end), 'w' for text in a place.
 
-    The place in an excluded element is 'x' and the name of the outermost such element; ``inside`` says that a token is
+    The place in an excluded element is 'x' and the name of the outermost such element. Words of a class, id or role
+    exclude no element that holds WRAPPER or more of the words that are to be read; ``inside`` says that a token is
     of an <article> or <main>, which is the label of the counting. Values of text tokens are 'place\\ntext'.
     """
     out: list[tuple[str, str, bool, int]] = []
-    stack: list[tuple[str, str, str, bool]] = []  # name, excluded by, place, inside
+    stack: list[tuple[str, str, str, bool, tuple[int, ...]]] = []  # name, excluded by, place, inside, marked elements around
+    names: list[str] = []  # of marked elements
+    under: list[tuple[int, tuple[int, ...], int]] = []  # token, marked elements around, words
     for m in TOKEN.finditer(html or ""):
         name = m[3]
         if name is None:
@@ -78,9 +102,11 @@ def tokens(html: str) -> list[tuple[str, str, bool, int]]:
             if text[0] == "<" and len(text) > 1 or m[1]:
                 continue
             text = unescape(text) if "&" in text else text
-            top = stack[-1] if stack else ("", "", "body", False)
+            top = stack[-1] if stack else ("", "", "body", False, ())
             link = "+a" if any(x[0] == "a" for x in stack[-4:]) else ""
             out.append(("w", f"{'x ' + top[1] if top[1] else top[2] + link}\n{text}", top[3], len(text.split())))
+            if not top[1]:
+                under.append((len(out) - 1, top[4], out[-1][3]))
             continue
         name = name.lower()
         if m[2]:
@@ -96,14 +122,24 @@ def tokens(html: str) -> list[tuple[str, str, bool, int]]:
                     break
                 if stack[i][0] in BLOCK:
                     break
-        top = stack[-1] if stack else ("", "", "body", False)
-        gone = name if _excluded(name, m[4]) else ""
-        inside = top[3] or name in MARKED and not gone and not (top[1] and any(x[0] in NEVER for x in stack))
+        top = stack[-1] if stack else ("", "", "body", False, ())
+        by = _excluded(name, m[4])
+        gone, around = name if by == "name" else "", top[4]
+        inside = top[3] or name in MARKED and not by and not (top[1] and any(x[0] in NEVER for x in stack))
         gone = top[1] or gone
         out.append(("t", name, inside, 0))
         if name not in VOID and not m[4].endswith("/"):
             place = _place(name, m[4]) if name in BLOCK else top[2]
-            stack.append((name, gone, place, inside))
+            if by == "mark" and not gone:
+                names.append(name)
+                around = (*around, len(names) - 1)
+            stack.append((name, gone, place, inside, around))
+    if names:
+        kept = _wrappers(under)
+        for i, chain, _ in under:
+            if (x := next((x for x in chain if x not in kept), None)) is not None:
+                kind, value, inside, words = out[i]
+                out[i] = (kind, f"x {names[x]}\n{value.partition(chr(10))[2]}", inside, words)
     return out
 
 
