@@ -19,14 +19,14 @@ def snapshots_due(batches: DataFrame, quantity: int) -> DataFrame:
     return batches.withColumn("snapshots", (F.floor(F.col("after") / quantity) - F.floor(F.col("before") / quantity)).cast("long")).where("snapshots > 0")
 
 
-def snapshot(book: DataFrame, upto: int) -> DataFrame:
-    """Balances of each shard after sequence ``upto``, in chunks of 1,024 accounts in order, with the place in the shard.
+def snapshot(book: DataFrame, upto: int | None = None) -> DataFrame:
+    """Balances of each shard after sequence ``upto``, or at its head, in chunks of 1,024 accounts in order, with the place in the shard.
 
     Places are prefix sums over hash-free account ranges, so a shard's accounts aren't sorted in one task.
     """
     from tidebook.functions.ordering import running_sum
 
-    last = book.where(F.col("seq") <= upto).groupBy("shard_id", "account_id").agg(F.max_by("balance", "seq").alias("balance"))
+    last = (book if upto is None else book.where(F.col("seq") <= upto)).groupBy("shard_id", "account_id").agg(F.max_by("balance", "seq").alias("balance"))
     placed = running_sum(last, ["shard_id"], "account_id", F.lit(1), "place")
     return placed.withColumn("place", F.col("place") - 1).withColumn("chunk", F.floor((F.col("place")) / CHUNK_ACCOUNTS).cast("long"))
 
