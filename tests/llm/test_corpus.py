@@ -171,7 +171,7 @@ def test_main_text(spark):
     rows = [(i, "u", PAGE) for i in range(3)] + [(10, None, None), (11, "", ""), (12, "u", "<p>"), (13, "u", "just words"), (None, "u", PAGE), (14, "u", PAGE.replace("Four", "Four " + "w " * 60_000))]
     pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, text string, n_chars int")
     got = html_text.extract(spark, pages).collect()
-    want = "Head & line\nOne two three\nFour five\na\nb"
+    want = "Head & line\n\nOne two three\n\nFour five\n\na\n\nb"
     assert sorted((-1 if r["page_id"] is None else r["page_id"], r["text"]) for r in got if r["page_id"] != 14) == [(-1, want), (0, want), (1, want), (2, want), (10, ""), (11, ""), (12, ""), (13, "just words")]
     assert all(r["n_chars"] == len(r["text"]) for r in got) and len(next(r["text"] for r in got if r["page_id"] == 14).split()) == 60_010
     assert html_text.extract(spark, pages.limit(0)).count() == 0
@@ -181,7 +181,7 @@ def test_unmarked_pages(spark):
     page = "<body><div class='nav-menu'><a>Home</a><a>News</a></div><div class='content'><h1>Title</h1><p>Some words to read here.</p><p>And some more of them.</p></div><div class='sidebar'><p>not this one</p></div></body>"
     rows = [(i, "u", PAGE) for i in range(5)] + [(9, "u", page)]
     got = html_text.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).where("page_id = 9").first()
-    assert got["text"] == "Title\nSome words to read here.\nAnd some more of them."
+    assert got["text"] == "Title\n\nSome words to read here.\n\nAnd some more of them."
 
 
 def test_article_of_a_teaser_does_not_decide(spark):
@@ -199,6 +199,50 @@ def test_class_words_do_not_empty_a_wrapper(spark, wrapper):
     assert got["text"].split() == "Title Some words to read here.".split()
 
 
+def test_the_scan_finds_the_best_region():
+    r = random.Random(3)
+    for _ in range(300):
+        x = [r.choice([-3, -1, -0.5, 0, 0.5, 1, 2]) for _ in range(r.randrange(0, 15))]
+        a, b = html_text.best_region(x)
+        best = max((sum(x[i:j]) for i in range(len(x)) for j in range(i + 1, len(x) + 1)), default=0)
+        assert sum(x[a:b]) == max(best, 0) and (a < b) == (best > 0)
+
+
+def generated(r, marked):
+    """A page and its main text; without ``marked`` no element says what it is, and classes are random letters."""
+    def words(n):
+        return " ".join("".join(r.choice("abdeginorst") for _ in range(r.randrange(2, 9))) for _ in range(n))
+
+    def box(name, mark, inner):
+        random_class = "".join(r.choice("qxzjkv") for _ in range(5))
+        return f"<{name} class='{mark}'>{inner}</{name}>" if marked else f"<div class='{random_class}'>{inner}</div>"
+
+    text = [words(r.randrange(3, 8)), *(words(r.randrange(25, 70)) for _ in range(r.randrange(2, 6)))]
+    body = f"<h1>{text[0]}</h1>" + "".join(f"<p>{t}</p>" for t in text[1:])
+    links = "".join(f"<li><a href='/x'>{words(r.randrange(1, 3))}</a></li>" for _ in range(6))
+    page = box("nav", "menu", f"<ul>{links}</ul>") + box("div", "ad", words(r.randrange(3, 9))) + (f"<article>{body}</article>" if marked else box("div", "", body)) + box("footer", "foot", words(r.randrange(4, 14)))
+    return f"<html><head><title>{words(4)}</title></head><body>{page}</body></html>", "\n\n".join(text)
+
+
+def test_learned_weights_and_the_scan_decide(spark):
+    r = random.Random(11)
+    pages = [(i, "u", generated(r, True)[0]) for i in range(60)]
+    found = html_text.train(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    plain = [generated(r, False) for _ in range(60)]
+    assert sum(html_text.main_text(h, found) == t for h, t in plain) >= 54
+    assert sum(html_text.main_text(h, found, scan=False) == t for h, t in plain) == 0
+    none = html_text.Weights(0.0, {}, {})
+    assert sum(html_text.main_text(h, none) == t for h, t in plain) == 0
+
+
+def test_parts_that_are_not_the_article(spark):
+    parts = "<div class='cookie-notice'><p>We use cookies here.</p></div>", "<div class='advert'>Buy this</div>", "<section id='comments'><p>A reader says that this is not so at all.</p></section>", "<script>x()</script>", "<form><p>Your mail</p><input><button>Go</button></form>", "<aside><p>See also</p></aside>"
+    body = "<h1>The title</h1><p>First of the words to be read, and a few more of them.</p>{}<p>Second of the words to be read.</p>{}<ul><li>one</li><li>two</li></ul>"
+    page = f"<body><div class='page'>{parts[0]}<div class='content'>{body.format(parts[1] + parts[5], parts[3] + parts[4])}</div>{parts[2]}<div class='footer'>Imprint</div></div></body>"
+    got = html_text.extract(spark, spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).first()["text"]
+    assert got == "The title\n\nFirst of the words to be read, and a few more of them.\n\nSecond of the words to be read.\n\none\n\ntwo"
+
+
 def dice(text, template):
     def bigrams(x):
         return set(licenses.template_bigrams(x))
