@@ -63,6 +63,26 @@ def test_classifiers_without_labels_or_rows(spark, corpus, f):
     assert len({r["score"] for r in f(spark, docs, one).collect()}) == 1
 
 
+@pytest.mark.parametrize("f", [quality.quality, toxicity.toxicity])
+def test_labels_without_a_document_change_nothing(spark, corpus, f):
+    docs, labels, _ = corpus
+    few = docs.where("doc_id < 300").unionByName(docs.where("doc_id = 3")).unionByName(docs.where("doc_id = 4").withColumn("text", F.lit("~")))
+    more = labels.unionByName(spark.range(10_000, 60_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic")))
+    want = sorted(map(repr, f(spark, few, labels.where("doc_id < 300"), per_class=100).collect()))
+    assert sorted(map(repr, f(spark, few, more, per_class=100).collect())) == want
+    assert len({r["score"] for r in f(spark, few, more, per_class=100).collect()}) > 100 or f is toxicity.toxicity
+
+
+def maximal(x):
+    """The maximal scoring segments by their definition: the best one (the shortest, then the first), then what is left and right of it."""
+    found = [(sum(x[a:b]), a - b, -a) for a in range(len(x)) for b in range(a + 1, len(x) + 1) if sum(x[a:b]) > 0]
+    if not found:
+        return []
+    _, n, a = max(found)
+    a, b = -a, -a - n
+    return [*maximal(x[:a]), (a, b), *((b + i, b + j) for i, j in maximal(x[b:]))]
+
+
 def test_all_maximal_segments():
     r = random.Random(1)
     for _ in range(200):
@@ -73,6 +93,8 @@ def test_all_maximal_segments():
         assert all(abs(sum(x[a:b]) - s) < 1e-9 for a, b, s in found) and all(b <= c for (_, b, _), (c, _, _) in zip(found, found[1:], strict=False))
         covered = {i for a, b, _ in found for i in range(a, b)}
         assert all(i in covered for i, v in enumerate(x) if v > 0)
+        y = [v + (r.random() - 0.5) / 8 for v in x]  # without ties the segments are defined
+        assert [(a, b) for a, b, _ in toxicity.segments(np.array(y, float))] == maximal(y)
 
 
 def test_passages_point_at_toxic_words(spark, corpus):

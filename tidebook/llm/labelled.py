@@ -21,16 +21,16 @@ def clean_labels(labels: DataFrame, label: str) -> DataFrame:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[DataFrame, dict[int, int]]:
-    """doc_id, y, text of at most ``per_class`` documents of each label, by least hash of the id, and all labels' counts.
-
-    The ids that are broadcast number 2 * ``per_class`` at most.
+    """doc_id, y, text of at most ``per_class`` labelled documents of each label, by least hash of the id, and the counts
+    of all labelled documents by label. Labels without a document count for nothing; of rows that repeat an id the least
+    text is taken. The ids that are broadcast number 2 * ``per_class`` at most.
     """
-    known = clean_labels(labels, label)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    known = clean_labels(labels, label).join(texts.where(~held_out()).select("doc_id").distinct(), "doc_id", "left_semi")
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = known.where("y = 0").orderBy(*order).limit(per_class).unionByName(known.where("y = 1").orderBy(*order).limit(per_class))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(F.broadcast(picked), "doc_id"), counts
+    return texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")), counts
 
 
 def calibrated(margins: np.ndarray, y: np.ndarray, counts: dict[int, int]) -> tuple[float, float]:

@@ -73,12 +73,12 @@ def ngrams(text: bytes | None, words: Words) -> np.ndarray:
     word = np.fromiter((words.hashes[i] for i in kinds.tolist()), np.uint64, len(kinds))
     with np.errstate(over="ignore"):
         shape[1:] += (place[1:] == place[:-1]) * np.uint64(0x1234567)
-        grams, parts, acc = [word], np.uint64(1), shape
+        grams, acc = [word], shape
         for n in range(1, 4):
             grams.append(acc * _GOLD + np.uint64(n))
             acc = acc[:-1] * _GOLD + shape[n:]
         all_ = np.concatenate(grams)
-        all_ = (all_ ^ (all_ >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + parts
+        all_ = (all_ ^ (all_ >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return np.unique((all_ >> np.uint64(64 - 18)).astype(np.int64))
 
 
@@ -198,7 +198,8 @@ def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """doc_id, held_out, score, predicted (1 from 0.3 on) of every row of ``docs`` (doc_id, text, any others).
 
-    Learns from ``labels`` (doc_id, quality) outside the held-out fold, at most ``per_class`` rows of each class. Null,
+    Learns from ``labels`` (doc_id, quality) outside the held-out fold, at most ``per_class`` documents of each class;
+    labels without a document change nothing. Null,
     empty and blank texts have no features and one common score; very long texts are read whole; repeated rows are
     scored alike; without labels of both classes all rows get the labels' share (0.5 without labels). Null ids aren't
     held out. Ties don't occur: each row has its own result.

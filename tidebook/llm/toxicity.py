@@ -245,10 +245,11 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, passages: bool = F
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, passages: bool = False) -> DataFrame:
     """doc_id, held_out, score, predicted (1 from 0.5 on) of every row of ``docs`` (doc_id, text, any others).
 
-    Learns from ``labels`` (doc_id, toxic) outside the held-out fold, at most ``per_class`` rows of each class. Null,
+    Learns from ``labels`` (doc_id, toxic) outside the held-out fold, at most ``per_class`` documents of each class;
+    labels without a document change nothing. Null,
     empty and blank texts have no evidence and one common score; very long texts are read whole; repeated rows are
     scored alike; without labels of both classes all rows get the labels' share (0.5 without labels). Null ids aren't
-    held out. With ``passages`` the significant segments of each text come along.
+    held out. Ties don't occur: each row has its own result. With ``passages`` the significant segments of each text come along.
     """
     model = train(spark, docs, labels, per_class=per_class)
     scored = score(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model, passages)
