@@ -104,10 +104,33 @@ def test_passages_point_at_toxic_words(spark, corpus):
     assert np.mean(hits) > 0.9
 
 
-def test_targets_share_by_weight_and_stop_at_three_times():
-    assert mixing.targets([100, 100, 100], [5, 2, 1]) == [187.5, 75.0, 37.5]
-    assert mixing.targets([10, 1000, 1000], [5, 2, 1]) == pytest.approx([30, 1320, 660])
-    assert mixing.targets([], []) == [] and mixing.targets([0, 5], [5, 2]) == [0.0, 5.0]
+def targets(sizes, weights, most=3):
+    """Shares by weight, none above ``most`` times its size, by filling one round after another."""
+    total, out, free = float(sum(sizes)), [0.0] * len(sizes), set(range(len(sizes)))
+    while free:
+        left, by = total - sum(out[i] for i in range(len(sizes)) if i not in free), sum(weights[i] for i in free)
+        for i in free:
+            out[i] = left * weights[i] / by
+        full = {i for i in free if out[i] > most * sizes[i]}
+        if not full:
+            break
+        for i in full:
+            out[i] = float(most * sizes[i])
+        free -= full
+    return out
+
+
+def test_targets_share_by_weight_and_stop_at_three_times(spark):
+    r = random.Random(2)
+    cases = [[100, 100, 100], [10, 1000, 1000], [0, 5], [0, 0, 0], [r.choice([0, 1, 5, 40, 3000]) for _ in range(70)]]
+    assert targets(cases[0], [5, 2, 1]) == [187.5, 75.0, 37.5] and targets(cases[1], [5, 2, 1]) == pytest.approx([30, 1320, 660])
+    for sizes in cases:
+        names = sorted(f"s{i}é" if i % 3 else f"S{i}🙂" for i in range(len(sizes) - 1)) + [None]
+        rows = list(zip(names, sizes, strict=True))
+        r.shuffle(rows)
+        got = mixing.targeted(mixing.Scratch(spark, "t"), spark.createDataFrame(rows, "source string, words long")).orderBy("source_no").collect()
+        assert [(x["source_no"], x["source"], x["words"]) for x in got] == [(i, *x) for i, x in enumerate(zip(names, sizes, strict=True))]
+        assert [x["target"] for x in got] == pytest.approx(targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(sizes))]))
 
 
 def test_mix_comes_near_targets_and_repeats_itself(spark, corpus):
@@ -129,12 +152,42 @@ def test_mix_comes_near_targets_and_repeats_itself(spark, corpus):
     assert mixing.mix(spark, docs.where("doc_id in (9001, 9002)")).collect()[0]["taken"] == 0
 
 
+def test_mix_of_many_sources_and_a_hot_row(spark):
+    rows = [(i, "w " * (1 + i * 7 % 30), f"host{i % 90:02d}") for i in range(900)] + [(5_000 + i, "big " * 2000, "host00") for i in range(2)]
+    docs = docs_of(spark, rows)
+    hot = spark.range(700).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same words here").alias("text"), *(F.lit(None).cast(t).alias(c) for c, t in docs.dtypes[2:]))
+    docs = docs.unionByName(hot)
+    got = mixing.mix(spark, docs, group=8).collect()
+    assert len(got) == 1602 and sum(r["doc_id"] is None for r in got) == 700 and all(r["taken"] == r["size"] * r["copies"] and 0 <= r["copies"] <= 3 for r in got)
+    by = {}
+    for r in got:
+        x = by.setdefault(r["source"], [0, r["target"], 0])
+        x[0], x[2] = x[0] + r["taken"], max(x[2], r["size"])
+    assert all(abs(taken - target) <= most for taken, target, most in by.values()) and len(by) == 91
+    assert abs(by[None][0] - by[None][1]) <= 4
+    assert sorted(map(repr, mixing.mix(spark, docs, group=8).collect())) == sorted(map(repr, got))
+    again = mixing.repeated(spark, docs, group=8)
+    assert again.columns == docs.columns
+    counted = {(r["doc_id"], r["source"]): r["count"] for r in again.groupBy("doc_id", "source").count().collect()}
+    want = {k: n for k, n in _copies(got).items() if n}
+    assert {k: n for k, n in counted.items() if k[0] is not None} == {k: n for k, n in want.items() if k[0] is not None}
+    assert abs(counted[None, None] - want[None, None]) <= 1  # rows without ids are numbered there
+
+
+def _copies(rows):
+    out = {}
+    for r in rows:
+        k = r["doc_id"], r["source"]
+        out[k] = out.get(k, 0) + r["copies"]
+    return out
+
+
 def test_pivotal_rounding_keeps_expectations():
     import pandas as pd
 
     taken = np.zeros(6)
     for seed in range(3000):
-        pdf = pd.DataFrame({"doc_id": range(6), "size": [50, 7, 9, 30, 12, 22], "p": [0.3] * 6, "ends": True})
+        pdf = pd.DataFrame({"doc_id": range(6), "copy_no": 0, "size": [50, 7, 9, 30, 12, 22], "p": [0.3] * 6, "ends": True})
         out = mixing._rounded(seed)(pdf).sort_values("doc_id")
         taken += out["extra"].to_numpy()
         assert abs((out["extra"] * out["size"]).sum() - 0.3 * 130) <= 50
@@ -180,6 +233,38 @@ def test_shards_are_near_equal_and_slots_gapless(spark, corpus):
     assert sharding.shard(spark, docs.limit(0)).count() == 0
 
 
+def shard_sums(rows):
+    out = {}
+    for r in rows:
+        x = out.setdefault(r["shard"], [0, 0])
+        x[0], x[1] = x[0] + r["size"], x[1] + 1
+    return out
+
+
+def test_groups_below_a_shard_stay_whole(spark):
+    r = random.Random(8)
+    rows = [(i, " ".join(str(r.random()) for _ in range(r.randrange(5, 60))), "s") for i in range(3000)]
+    rows += [(10_000 + i, "the same few words in every one of these " * 3, "s") for i in range(140)]
+    got = sharding.shard(spark, docs_of(spark, rows)).collect()
+    assert len({x["shard"] for x in got if x["doc_id"] >= 10_000}) == 1
+    sums = shard_sums(got)
+    assert max(s for s, _ in sums.values()) - min(s for s, _ in sums.values()) <= 0.02 * sum(s for s, _ in sums.values()) / 16
+    assert max(n for _, n in sums.values()) <= 1.75 * len(rows) / 16
+
+
+def test_a_third_of_all_rows_alike_without_ids(spark):
+    rows = docs_of(spark, [(i, f"text {i} " * (i % 40), "s") for i in range(4000)])
+    hot = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), *(F.lit(None).cast(t).alias(c) for c, t in rows.dtypes[2:]))
+    got = sharding.shard(spark, rows.unionByName(hot)).collect()
+    slots = {}
+    for x in got:
+        slots.setdefault(x["shard"], []).append(x["slot"])
+    assert len(got) == 6000 and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    sums = shard_sums(got)
+    assert max(n for _, n in sums.values()) <= 2 * 6000 / 16 and len({x["shard"] for x in got if x["doc_id"] is None}) >= 6
+    assert max(s for s, _ in sums.values()) - min(s for s, _ in sums.values()) <= 0.05 * sum(s for s, _ in sums.values()) / 16
+
+
 def test_awkward_rows_are_sharded(spark, corpus):
     docs, _, _ = corpus
     got = sharding.shard(spark, docs.where("doc_id >= 9001 or doc_id is null")).collect()

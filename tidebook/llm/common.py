@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +29,12 @@ def small_batches(spark: SparkSession) -> None:
 class Scratch:
     """Parquet tables of one run in the shared folder. They cut lineage and outlive any executor."""
 
+    #: Those made within ``released``, if in one.
+    made: list[Scratch] | None = None
+
     def __init__(self, spark: SparkSession, name: str):
+        if Scratch.made is not None:
+            Scratch.made.append(self)
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.kept: list[tuple[DataFrame, str]] = []
 
@@ -49,6 +56,18 @@ class Scratch:
                 at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def released() -> Iterator[None]:
+    """Delete in the end the tables of every Scratch that was made meanwhile: what was wanted of them is written elsewhere."""
+    before, Scratch.made = Scratch.made, []
+    try:
+        yield
+    finally:
+        made, Scratch.made = Scratch.made, before
+        for x in made:
+            x.clear()
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
