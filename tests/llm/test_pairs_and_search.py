@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tidebook.llm import near_dedup
+from tidebook.llm import exact_topk, near_dedup
 from tidebook.llm.common import Scratch, components
 from tidebook.llm.exact_topk import Tree, top_k
 
@@ -114,6 +114,27 @@ def test_top_k_of_few_rows_and_none(spark):
     assert [tuple(r) for r in top_k(spark, few).orderBy("rank").collect()] == [(0, 1, 7, 2048 * 1024), (0, 2, 8, 2048 * 1024)]
 
 
+def test_top_k_over_many_cells_and_shards_with_repeated_ids(spark, monkeypatch):
+    for name, value in (("SHARD_ROWS", 40), ("LEAST_ROWS", 8), ("CELLS", 12), ("DIMS", 2), ("SAMPLE", 200)):
+        monkeypatch.setattr(exact_topk, name, value)
+    r = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in r.normal(size=4) + (i % 3) * 4]) for i in range(700)]
+    rows += [(i, [0.5] * 4) for i in range(700, 850)] + [(i, [float(x) for x in r.normal(size=3)]) for i in range(900, 1010)] + [(2000 + i, [float(i), 1.0]) for i in range(0, 110)] + [(3100, [0.25] * 3000), (3101, [0.5] * 3000)]
+    again = [(17, [9.0] * 4), (17, [9.0] * 4), (100, [50.0] * 4), (100, [51.0] * 4), (333, rows[333][1])]
+    df = spark.createDataFrame(rows + again, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, top_k(spark, df, k=7).collect()))
+    ints = [(i, np.floor(np.asarray(v) * 1024).astype(np.int64)) for i, v in rows + again]
+    asks = {}
+    for i, v in ints:
+        if i % 100 == 0 and (i not in asks or v.tolist() < asks[i].tolist()):
+            asks[i] = v
+    want = []
+    for q, v in asks.items():
+        best = sorted((-int(v @ w), i) for i, w in ints if i != q and len(w) == len(v))[:7]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+
+
 def test_tree_boxes_are_tight():
     v = np.arange(600, dtype=np.int64).reshape(300, 2) % 97
     tree = Tree(np.arange(300), v, 10)

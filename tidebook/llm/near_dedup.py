@@ -26,7 +26,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
-from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -98,12 +97,6 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sketch array<long>")
 
 
-def least_shared(n: int, similarity: float) -> int:
-    """Retained values that a set of n shares at least with any set that it is linked to."""
-    whole = ceil(similarity * n - 1e-9)
-    return whole if n * 1.0 / similarity <= SKETCH else min(whole, SKETCH // 2)
-
-
 def _prefixes(reps: DataFrame, similarity: float) -> DataFrame:
     """rep, value, weight: the listed values of each class. weight: how well its sketch is connected."""
     held = reps.select("rep", F.explode("sketch").alias("value"))
