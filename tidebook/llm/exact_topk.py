@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tidebook.llm.common import Scratch, small_batches
 from tidebook.sources.tables import table
 
-K, LEAF, SHARD_ROWS, SAMPLE = 10, 64, 32_768, 16_384
+K, LEAF, SHARD_ROWS, SAMPLE = 10, 64, 32_768, 4096
 CELLS, DIMS = 512, 8
 #: So many cells at least, for all cores to work, but none under LEAST_ROWS rows on average.
 SPREAD, LEAST_ROWS = 32, 256
