@@ -18,11 +18,12 @@ def findings(batch: DataFrame, history: DataFrame) -> DataFrame:
     bad_refund: an applied refund has no applied debit of its account and amount before it, or isn't the first of it.
     """
     row = F.struct(*KEY, *BODY, "status", "balance")
-    by_shard = Window.partitionBy("shard_id").orderBy("seq")
-    progress = history.groupBy("shard_id").agg(F.max("seq").alias("head"))
-    placed = batch.withColumn("_prev", F.lag("seq").over(by_shard)).join(progress, "shard_id", "left")
-    late = placed.where(F.col("_prev").isNull() & (F.col("seq") > F.coalesce("head", F.lit(0)) + 1)).select("shard_id", "seq", F.lit("starts_late").alias("finding"))
-    gap = placed.where(F.col("seq") > F.col("_prev") + 1).select("shard_id", "seq", F.lit("gap").alias("finding"))
+    heads = history.groupBy("shard_id").agg(F.max("seq").alias("head"))
+    firsts = batch.groupBy("shard_id").agg(F.min("seq").alias("first"))
+    late = firsts.join(heads, "shard_id", "left").where(F.col("first") > F.coalesce("head", F.lit(0)) + 1).select("shard_id", F.col("first").alias("seq"), F.lit("starts_late").alias("finding"))
+    # A row whose predecessor is missing, but for each shard's first: no shard is put in order.
+    after = batch.select("shard_id", (F.col("seq") + 1).alias("seq"))
+    gap = batch.select("shard_id", "seq").join(after, ["shard_id", "seq"], "left_anti").join(F.broadcast(firsts), "shard_id").where(F.col("seq") > F.col("first")).select("shard_id", "seq", F.lit("gap").alias("finding"))
     held = history.select("shard_id", "seq", row.alias("_old"))
     changed = batch.select("shard_id", "seq", row.alias("_new")).join(held, ["shard_id", "seq"]).where(~F.col("_new").eqNullSafe(F.col("_old"))).select("shard_id", "seq", F.lit("changed").alias("finding"))
     moved = batch.join(history.select(*KEY, F.col("seq").alias("_seq")), KEY).where("seq <> _seq").select("shard_id", "seq", F.lit("changed").alias("finding"))

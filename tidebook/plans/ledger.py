@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from tidebook.operators import ledger as L
 from tidebook.plans.registry import query
 from tidebook.plans.sql import CLASSIFIED, LEDGER, ORIGINALS, REQUESTS, WALLET, over
+from tidebook.sources.committed import committed
 from tidebook.sources.derive import originals, requests
 from tidebook.sources.tables import table
 
 
 def book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger of all derived requests."""
-    return L.ledger(requests(spark, sf_dir))
+    """The ledger of all derived requests, committed once per data folder in order of account and key."""
+    return committed(spark, sf_dir, "ledger", "events", lambda: L.ledger(requests(spark, sf_dir)).repartition("account_id").sortWithinPartitions("account_id", "tx_id"))
 
 
 def flat(df: DataFrame) -> DataFrame:

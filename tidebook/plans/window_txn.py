@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidebook.operators import window_txn as X
 from tidebook.plans.registry import query
+from tidebook.sources.committed import committed
 from tidebook.sources.tables import table
 
 WINDOW = 500
@@ -49,7 +50,11 @@ def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger before: orders divisible by 7, chained from the accounts' balances."""
+    """The ledger before: orders divisible by 7, chained from the accounts' balances, committed once per data folder."""
+    return committed(spark, sf_dir, "window-ledger", "orders", lambda: _chained(spark, sf_dir))
+
+
+def _chained(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = inputs(spark, sf_dir).where("ord % 7 = 0 and amount > 0").join(accounts(spark, sf_dir), "account_id")
     before = F.sum("amount").over(Window.partitionBy("account_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("before_balance", F.col("balance") + F.coalesce(before, F.lit(0)))

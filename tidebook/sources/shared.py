@@ -9,8 +9,14 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where it isn't set (one process, as in tests) a temporary folder, made once."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """The session's spark.checkpoint.dir. Where it isn't set and all runs in one process, as in tests, a temporary folder
+    made once; a cluster without it is refused, for its machines share no such folder."""
+    if at := spark.conf.get("spark.checkpoint.dir", None):
+        return at
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_dir()
 
 
 @cache
