@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MASK = (1 << 64) - 1
+from tidebook.functions.ordering import running_sum
+
 RESERVOIR = 4096
 
 
@@ -18,10 +19,39 @@ def nearest_rank(column: str, q: float) -> Column:
     return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {column})")
 
 
+def at_ranks(rows: DataFrame, keys: list[str], column: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Of each group the values of whole-number ``column`` at the ranks that functions of the group's count n name.
+
+    Equal values are counted first and ranked by prefix sums over ranges of values, so no task holds or sorts a group,
+    whatever its size. Groups without a value have no row.
+    """
+    counts = rows.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("_c"))
+    totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n")).select(*(F.col(k).alias(f"_k_{k}") for k in keys), "_n")
+    placed = running_sum(counts, keys, column, F.col("_c"), "_upto").join(totals, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return placed.groupBy(*keys).agg(*(F.min(F.when(F.col("_upto") >= rank(F.col("_n")), F.col(column))).alias(name) for name, rank in ranks.items()))
+
+
+def quantiles(rows: DataFrame, keys: list[str], column: str, wanted: dict[str, float]) -> DataFrame:
+    """Nearest-rank quantiles of each group: the value of rank ceil(q * n)."""
+    return at_ranks(rows, keys, column, {name: (lambda n, q=q: F.greatest(F.ceil(F.lit(q) * n), F.lit(1))) for name, q in wanted.items()})
+
+
+def medians(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """The median of each group, the middle two averaged."""
+    two = at_ranks(rows, keys, column, {"_a": lambda n: F.floor((n + 1) / 2), "_b": lambda n: F.floor(n / 2) + 1})
+    return two.select(*keys, ((F.col("_a") + F.col("_b")) / 2).alias("median"))
+
+
+def beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Columns of ``right`` beside those of ``left`` with the same keys, null ones included."""
+    renamed = right.select(*(F.col(k).alias(f"_k_{k}") for k in keys), *(c for c in right.columns if c not in keys))
+    return left.join(renamed, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], "left").drop(*(f"_k_{k}" for k in keys))
+
+
 def summary(rows: DataFrame, keys: list[str], column: str, overflow: int = 600_000_000_000) -> DataFrame:
     """count, min, max, mean, p50, p95, p99, p999 and how many exceed ``overflow``."""
-    q = {"p50": 0.5, "p95": 0.95, "p99": 0.99, "p999": 0.999}
-    return rows.groupBy(*keys).agg(F.count(column).alias("count"), F.min(column).alias("min"), F.max(column).alias("max"), F.avg(column).alias("mean"), *(nearest_rank(column, x).cast("long").alias(n) for n, x in q.items()), F.count_if(F.col(column) > overflow).alias("overflow"))
+    plain = rows.groupBy(*keys).agg(F.count(column).alias("count"), F.min(column).alias("min"), F.max(column).alias("max"), F.avg(column).alias("mean"), F.count_if(F.col(column) > overflow).alias("overflow"))
+    return beside(plain, quantiles(rows, keys, column, {"p50": 0.5, "p95": 0.95, "p99": 0.99, "p999": 0.999}), keys)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -54,27 +84,23 @@ def hash_sample(rows: DataFrame, account: str, request: str, stride: int | None
     return rows.where(picked(F.col(account).cast("long"), F.col(request).cast("long")))
 
 
-def reservoir(rows: DataFrame, stage: str, order: str, value: str, size: int = RESERVOIR) -> DataFrame:
-    """A deterministic reservoir of each stage: stage, place, value. The nth value takes a place chosen by stage and n."""
+def reservoir(rows: DataFrame, stage: str, order: str, value: str, stages: list[str], size: int = RESERVOIR) -> DataFrame:
+    """A deterministic reservoir of each stage: stage, place, value. The first ``size`` values fill it; the nth after them
+    takes the place that the mixed hash of n and the stage's number (its place in ``stages``) chooses among n, if there is one.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: dict[str, list] = {}
-        seen: dict[str, int] = {}
-        for pdf in frames:
-            for s, v in zip(pdf[stage], pdf[value], strict=True):
-                n = seen[s] = seen.get(s, 0) + 1
-                held = kept.setdefault(s, [])
-                if n <= size:
-                    held.append(v)
-                else:
-                    at = int(splitmix64(np.array([n ^ int.from_bytes(s.encode()[:8], "little")], np.uint64))[0] % np.uint64(n))
-                    if at < size:
-                        held[at] = v
-        for s, held in kept.items():
-            yield pd.DataFrame({"stage": s, "place": range(len(held)), "value": held})
-
-    ordered = rows.select(stage, order, value).repartition(stage).sortWithinPartitions(stage, order)
-    return ordered.mapInPandas(run, f"stage string, place long, value {dict(rows.dtypes)[value]}")
+    A place holds the last value that took it, so values are numbered by prefix sums and no fold is needed.
+    """
+
+    @F.pandas_udf("long")
+    def chosen(n: pd.Series, number: pd.Series) -> pd.Series:
+        counts = n.to_numpy(np.int64).view(np.uint64)
+        with np.errstate(over="ignore"):
+            return pd.Series((splitmix64(counts ^ (number.to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) % counts).astype(np.int64))
+
+    number = F.array_position(F.array(*(F.lit(s) for s in stages)), F.col(stage)).cast("long")
+    counted = running_sum(rows.where(F.col(stage).isin(stages)).select(stage, order, value), [stage], order, F.lit(1), "_n")
+    placed = counted.withColumn("place", F.when(F.col("_n") <= size, F.col("_n") - 1).otherwise(chosen("_n", number)))
+    return placed.where(F.col("place") < size).groupBy(stage, "place").agg(F.max_by(value, "_n").alias("value"))
 
 
 def trailing_rates(per_second: DataFrame, second: str, count: str, widths: tuple[int, ...] = (1, 10, 60), keys: list[str] | None = None) -> DataFrame:
@@ -89,42 +115,82 @@ def decomposed(rows: DataFrame, points: list[str], parts: list[str]) -> DataFram
     return rows.select("*", *(x.alias(p) for x, p in zip(steps, parts, strict=True)), F.exists(F.array(*steps), lambda x: x < 0).alias("backwards"))
 
 
-def request_mix(spark: SparkSession, accounts: int, per_account: int, late_percent: int, block: int = 200) -> DataFrame:
-    """account_id, idx, operation, class of a generated workload: in each block of 200 slots exactly ``late_percent`` are
-    late, half of them hits; the others alternate credit and debit. Slots are spread by a permutation of the block."""
-    r = spark.range(accounts * per_account).select((F.col("id") % accounts).alias("account_id"), F.floor(F.col("id") / accounts).cast("long").alias("idx"))
-    slot = F.pmod(F.col("idx") * 73 + F.col("account_id") * 31, F.lit(block))
-    late = late_percent * block // 100
-    kind = F.when(slot < late // 2, "late_hit").when(slot < late, "late_miss").otherwise("fresh")
-    return r.select("account_id", "idx", F.when(F.col("idx") % 2 == 0, "credit").otherwise("debit").alias("operation"), kind.alias("class"))
+#: Slots of a block of the request mix, and the step that spreads them.
+BLOCK, STEP = 200, 37
+#: Late slots, at 5 %, that are hits for accounts with even and with odd numbers.
+EVEN_HITS, ODD_HITS = (0, 1, 2, 3, 4), (1, 2, 3, 8, 9)
+
 
+def request_mix(spark: SparkSession, accounts: int, per_account: int, late_percent: int) -> DataFrame:
+    """account_id, idx, operation, class of a generated workload. A request's slot in its block of 200 is spread by a step
+    and an offset hashed from the account. Even slots credit, odd ones debit; at 5 % the first ten slots are late, half
+    of them hits; at any other share none is."""
 
-def pattern_workload(spark: SparkSession, users: int, waves: int, seed: int = 1) -> DataFrame:
-    """wave, place, account_id, operation: in each wave every user acts once, in an order shuffled by an xorshift generator;
-    an order is drawn again while it would start a wave with the user that ended the one before. Debits follow credits."""
+    @F.pandas_udf("long")
+    def offset(account: pd.Series) -> pd.Series:
+        return pd.Series((splitmix64(account.to_numpy(np.int64).view(np.uint64)) % np.uint64(BLOCK)).astype(np.int64))
+
+    r = spark.range(accounts * per_account).select((F.col("id") % accounts).alias("account_id"), F.floor(F.col("id") / accounts).cast("long").alias("idx"))
+    slot = F.pmod(F.col("idx") % BLOCK * STEP + offset("account_id"), F.lit(BLOCK))
+    r = r.withColumn("slot", slot)
+    hit = F.when(F.col("account_id") % 2 == 0, F.col("slot").isin(*EVEN_HITS)).otherwise(F.col("slot").isin(*ODD_HITS))
+    late = F.lit(late_percent == 5) & (F.col("slot") < 10)
+    kind = F.when(late & hit, "late_hit").when(late, "late_miss").otherwise("fresh")
+    return r.select("account_id", "idx", F.when(F.col("slot") % 2 == 0, "credit").otherwise("debit").alias("operation"), kind.alias("class"))
+
+
+# What an account's ten requests are made of, and the text that seeds its shuffles.
+PATTERNS = {"baseline": (["credit"] * 4 + ["debit"] * 4 + ["refund", "balance"], 0x4C4544474552), "credit_debit": (["credit"] * 5 + ["debit"] * 5, 0x434445424954)}
+# The patterns of the first two accounts of the second workload, which complement each other.
+PAIR = ("credit debit credit debit credit debit credit debit credit debit".split(), "credit credit debit credit debit credit debit credit debit debit".split())
+
+
+def patterns(accounts: np.ndarray, kind: str) -> np.ndarray:
+    """The operations of each account, one row of ten: shuffled, with a credit first, until no balance falls below 0 and
+    no refund comes before a debit. All accounts that still lack a valid order are drawn at once."""
+    names, salt = PATTERNS[kind]
+    out = np.empty((len(accounts), len(names)), object)
+    seed, open_ = mix64(accounts.astype(np.uint64) ^ np.uint64(salt)), np.arange(len(accounts))
+    if kind == "credit_debit":
+        for account, fixed in enumerate(PAIR):
+            out[accounts == account] = fixed
+        open_ = np.flatnonzero(accounts >= len(PAIR))
+    while len(open_):
+        drawn, x, rows = np.array([names] * len(open_), object), seed[open_], np.arange(len(open_))
+        for i in range(len(names) - 1, 0, -1):
+            with np.errstate(over="ignore"):
+                x ^= x << np.uint64(13)
+                x ^= x >> np.uint64(7)
+                x ^= x << np.uint64(17)
+            j = (x % np.uint64(i + 1)).astype(np.int64)
+            drawn[rows, i], drawn[rows, j] = drawn[rows, j], drawn[rows, i].copy()
+        seed[open_] = x
+        first = (drawn == "credit").argmax(1)
+        drawn[rows, first], drawn[rows, 0] = drawn[rows, 0], drawn[rows, first].copy()
+        change = np.select([drawn == "debit", drawn == "balance"], [-1, 0], 1)
+        valid = (change.cumsum(1) >= 0).all(1)
+        if "refund" in names:
+            valid &= (drawn == "debit").argmax(1) < (drawn == "refund").argmax(1)
+        out[open_[valid]] = drawn[valid]
+        open_ = open_[~valid]
+    return out
+
+
+def pattern_workload(spark: SparkSession, users: int, kind: str = "baseline") -> DataFrame:
+    """account_id, wave, operation, tx_offset, refund_offset: what each account does in each of ten waves; transactions
+    are numbered without balance reads, and a refund is of the account's last debit before it."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for wave in pdf["id"].tolist():
-                last = _shuffled(users, seed + wave - 1)[-1] if wave else -1
-                order, attempt = _shuffled(users, seed + wave), 0
-                while users > 1 and order[0] == last and attempt < 16:
-                    attempt += 1
-                    order = order[1:] + order[:1]
-                yield pd.DataFrame({"wave": wave, "place": range(users), "account_id": order, "operation": "debit" if wave % 2 else "credit"})
-
-    return spark.range(waves).mapInPandas(run, "wave long, place long, account_id long, operation string")
-
-
-def _shuffled(n: int, seed: int) -> list[int]:
-    order, x = list(range(n)), (seed * 0x9E3779B97F4A7C15 + 1) & MASK
-    for i in range(n - 1, 0, -1):
-        x ^= x << 13 & MASK
-        x ^= x >> 7
-        x ^= x << 17 & MASK
-        j = x % (i + 1)
-        order[i], order[j] = order[j], order[i]
-    return order
+            ids = pdf["id"].to_numpy(np.int64)
+            found = patterns(ids, kind)
+            moves = found != "balance"
+            offset = moves.cumsum(1) - moves
+            last = np.maximum.accumulate(np.where(found == "debit", offset, -1), 1)
+            n = found.shape[1]
+            yield pd.DataFrame({"account_id": np.repeat(ids, n), "wave": np.tile(np.arange(n), len(ids)), "operation": found.ravel(), "tx_offset": offset.ravel(), "refund_offset": np.where(found == "refund", last, 0).ravel()})
+
+    return spark.range(users).mapInPandas(run, "account_id long, wave long, operation string, tx_offset long, refund_offset long")
 
 
 def u128_sum(column: str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.operators.history import lookup
@@ -49,13 +49,15 @@ def safe_prefix(book: DataFrame, shards: DataFrame, most: int) -> DataFrame:
 
     shards: shard_id, boundary_at, boundary_seq, latest_seq, projected_seq, coverage_seq, gc_prefix_seq. The scan starts
     after the prefix, ends at the least of the four sequences (one that isn't known allows nothing) and after ``most``
-    rows, and stops at the first row at or after the boundary, whatever follows, and before the first missing sequence.
-    A shard has at most ``most`` rows to be put in order.
+    rows, and stops at the first row at or after the boundary, whatever follows, and before the first missing sequence,
+    which is the least that follows a row (or the prefix) and has none; no shard is put in order.
     """
     limit = F.least(*(F.coalesce(c, F.lit(0).cast("long")) for c in ("boundary_seq", "latest_seq", "projected_seq", "coverage_seq")), F.col("gc_prefix_seq") + most)
-    rows = book.join(F.broadcast(shards.where("boundary_at is not null and gc_prefix_seq is not null").withColumn("_limit", limit)), "shard_id").where("seq > gc_prefix_seq and seq <= _limit")
-    place = F.dense_rank().over(Window.partitionBy("shard_id").orderBy("seq"))
-    rows = rows.withColumn("_place", place).where(F.col("seq") == F.col("gc_prefix_seq") + F.col("_place")).drop("_place")
+    open_ = shards.where("boundary_at is not null and gc_prefix_seq is not null").withColumn("_limit", limit)
+    rows = book.join(F.broadcast(open_), "shard_id").where("seq > gc_prefix_seq and seq <= _limit")
+    after = lambda df, c: df.select("shard_id", (F.col(c) + 1).alias("seq"))
+    missing = after(rows, "seq").unionByName(after(open_, "gc_prefix_seq")).join(rows.select("shard_id", "seq"), ["shard_id", "seq"], "left_anti")
+    rows = rows.join(F.broadcast(missing.groupBy("shard_id").agg(F.min("seq").alias("_missing"))), "shard_id").where("seq < _missing").drop("_missing")
     blocker = rows.where("transaction_at >= boundary_at").groupBy("shard_id").agg(F.min("seq").alias("blocked_at_seq"))
     return rows.join(F.broadcast(blocker), "shard_id", "left").where(F.col("blocked_at_seq").isNull() | (F.col("seq") <= F.col("blocked_at_seq"))).withColumn("deletable", F.coalesce(F.col("seq") < F.col("blocked_at_seq"), F.lit(True)))
 

@@ -65,6 +65,17 @@ def chain(book: DataFrame) -> DataFrame:
     )
 
 
+def verified(accounts: DataFrame, book: DataFrame) -> DataFrame:
+    """One row over all ``accounts`` (account_id, opening, balance, expected: how many rows) and their rows of ``book``:
+    accounts, bad ones, the sum of balances and the number of rows. An account is bad if its balance, count, first or
+    last link differ, if a row's amount doesn't make its balances, or if a row doesn't start where the one before ended."""
+    c = F.col
+    per = accounts.join(chain(book), "account_id", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    differs = (c("rows") != c("expected")) | (c("start") != c("opening")) | (c("end") != c("balance"))
+    bad = F.coalesce(differs, F.lit(False)) | ~F.coalesce("linked", F.lit(False))
+    return per.agg(F.count("*").alias("accounts"), F.count_if(bad).alias("bad"), F.coalesce(F.sum("balance"), F.lit(0)).alias("balance"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
+
+
 def share(column: str) -> Column:
     """Part of the whole column's sum, for a handful of rows."""
     return F.col(column) / F.sum(column).over(Window.partitionBy())

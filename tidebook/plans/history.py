@@ -8,32 +8,32 @@ from pyspark.sql import functions as F
 from tidebook.operators import history as H
 from tidebook.operators import ledger as L
 from tidebook.operators import watermark as W
-from tidebook.plans.ledger import WANTED, book, wanted
+from tidebook.plans.ledger import WANTED, book, upto, wanted
 from tidebook.plans.registry import query
 from tidebook.plans.sql import LEDGER, REQUESTS, over
 from tidebook.sources.derive import requests
 from tidebook.sources.tables import table
 
-KNOWN = 1500
 BOUNDARY = 1_704_700_000_000_000
 
-# History holds the first 1,500 rows of each shard; the batch goes on from 1,400 with faults put in.
-HISTORY = LEDGER + f", history AS (SELECT * FROM ledger WHERE seq <= {KNOWN})"
+# History holds the first three fifths of each shard; the batch goes on from a little before with faults put in.
+HISTORY = LEDGER + ", heads AS (SELECT shard_id, max(seq) AS head FROM ledger GROUP BY 1), history AS (SELECT l.* FROM ledger l JOIN heads h USING (shard_id) WHERE seq <= head * 3 // 5)"
 BATCH = (
     HISTORY
-    + """, batch AS (SELECT * REPLACE (CASE WHEN seq = 1450 THEN balance + 1 ELSE balance END AS balance, CASE WHEN operation = 'refund' AND status = 'applied' AND seq % 50 = 7 THEN amount + 1 ELSE amount END AS amount)
-  FROM ledger WHERE seq >= 1400 AND NOT (shard_id = 2 AND seq = 1600))"""
+    + """, batch AS (SELECT * EXCLUDE (head) REPLACE (CASE WHEN seq = head * 11 // 20 + 5 THEN balance + 1 ELSE balance END AS balance, CASE WHEN operation = 'refund' AND status = 'applied' AND seq % 50 = 7 THEN amount + 1 ELSE amount END AS amount)
+  FROM ledger JOIN heads USING (shard_id) WHERE seq >= head * 11 // 20 AND NOT (shard_id = 2 AND seq = head * 13 // 20))"""
 )
 
 
 def known(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return book(spark, sf_dir).where(F.col("seq") <= KNOWN)
+    return upto(book(spark, sf_dir))
 
 
 def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = book(spark, sf_dir).where("seq >= 1400 and not (shard_id = 2 and seq = 1600)")
+    all_ = book(spark, sf_dir)
+    rows = all_.join(F.broadcast(all_.groupBy("shard_id").agg(F.max("seq").alias("head"))), "shard_id").where("seq >= head * 11 div 20 and not (shard_id = 2 and seq = head * 13 div 20)")
     wrong = (F.col("operation") == "refund") & (F.col("status") == "applied") & (F.col("seq") % 50 == 7)
-    return rows.withColumn("balance", F.when(F.col("seq") == 1450, F.col("balance") + 1).otherwise(F.col("balance"))).withColumn("amount", F.when(wrong, F.col("amount") + 1).otherwise(F.col("amount")))
+    return rows.withColumn("balance", F.when(F.expr("seq = head * 11 div 20 + 5"), F.col("balance") + 1).otherwise(F.col("balance"))).withColumn("amount", F.when(wrong, F.col("amount") + 1).otherwise(F.col("amount"))).drop("head")
 
 
 @query(
@@ -84,7 +84,7 @@ def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.progress(book(spark, sf_dir).where("not (shard_id = 1 and seq = 700) and not (shard_id = 3 and seq = 1)"))
 
 
-@query("h05_projector", over(HISTORY, f"SELECT shard_id, seq, account_id, tx_id, status, balance FROM ledger WHERE seq > {KNOWN}"))
+@query("h05_projector", over(HISTORY, "SELECT shard_id, seq, account_id, tx_id, status, balance FROM ledger JOIN heads USING (shard_id) WHERE seq > head * 3 // 5"))
 def projector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a projection step appends to the history: the rows beyond its progress."""
     return H.applied_batch(book(spark, sf_dir), known(spark, sf_dir)).select("shard_id", "seq", "account_id", "tx_id", "status", "balance")
@@ -110,12 +110,12 @@ def destination_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "h08_destination_verification",
-    over(HISTORY, "SELECT l.shard_id, l.n AS source_progress, h.n AS destination_progress, l.shard_id <> 2 AS bound, CASE WHEN l.shard_id = 2 THEN 'unbound' WHEN h.n IS NULL THEN 'missing' WHEN h.n < l.n THEN 'behind' ELSE 'ok' END AS outcome FROM (SELECT shard_id, max(seq) - 900 * (shard_id % 2) AS n FROM ledger GROUP BY shard_id) l LEFT JOIN (SELECT shard_id, max(seq) AS n FROM history WHERE shard_id <> 0 GROUP BY 1) h USING (shard_id)"),
+    over(HISTORY, "SELECT l.shard_id, l.n AS source_progress, h.n AS destination_progress, l.shard_id <> 2 AS bound, CASE WHEN l.shard_id = 2 THEN 'unbound' WHEN h.n IS NULL THEN 'missing' WHEN h.n < l.n THEN 'behind' ELSE 'ok' END AS outcome FROM (SELECT shard_id, max(seq) - max(seq) * 9 // 20 * (shard_id % 2) AS n FROM ledger GROUP BY shard_id) l LEFT JOIN (SELECT shard_id, max(seq) AS n FROM history WHERE shard_id <> 0 GROUP BY 1) h USING (shard_id)"),
 )
 def destination_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = book(spark, sf_dir)
-    source = rows.groupBy("shard_id").agg(F.max("seq").alias("m")).select("shard_id", (F.col("m") - 900 * (F.col("shard_id") % 2)).alias("source_progress"))
-    there = rows.where(F.col("seq") <= KNOWN).where("shard_id <> 0").groupBy("shard_id").agg(F.max("seq").alias("destination_progress"))
+    source = rows.groupBy("shard_id").agg(F.max("seq").alias("m")).select("shard_id", F.expr("m - m * 9 div 20 * (shard_id % 2)").alias("source_progress"))
+    there = upto(rows).where("shard_id <> 0").groupBy("shard_id").agg(F.max("seq").alias("destination_progress"))
     return H.verified(source.join(there, "shard_id", "left").withColumn("bound", F.col("shard_id") != 2))
 
 
@@ -182,9 +182,9 @@ def restore_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Coverage of shard 2 isn't known, and shard 1 lacks a row: nothing of the one and nothing beyond the gap of the other goes.
 SCAN = SHARDS + """, g AS (SELECT *, 100 AS prefix0, CASE WHEN shard_id = 0 THEN latest_seq WHEN shard_id <> 2 THEN latest_seq - 200 END AS coverage_seq FROM shards WHERE boundary_at IS NOT NULL),
-l AS (SELECT * FROM ledger WHERE NOT (shard_id = 1 AND seq = 777)),
-r0 AS (SELECT l.*, g.boundary_at, g.prefix0 FROM l JOIN g USING (shard_id) WHERE l.seq > prefix0 AND l.seq <= least(boundary_seq, latest_seq, projected_seq, coalesce(coverage_seq, 0), prefix0 + 1200)),
-r AS (SELECT * FROM r0 WHERE NOT EXISTS (SELECT 1 FROM range(101, 1301) q WHERE q.range < r0.seq AND NOT EXISTS (SELECT 1 FROM l WHERE l.shard_id = r0.shard_id AND l.seq = q.range))),
+r0 AS (SELECT l.*, g.boundary_at, g.prefix0 FROM ledger l JOIN g USING (shard_id) WHERE l.seq > prefix0 AND l.seq <= least(boundary_seq, latest_seq, projected_seq, coalesce(coverage_seq, 0)) AND NOT (l.shard_id = 1 AND l.seq = latest_seq * 4 // 5)),
+u AS (SELECT shard_id, seq + 1 AS x FROM r0 UNION ALL SELECT shard_id, 101 FROM g), miss AS (SELECT shard_id, min(x) AS x FROM u WHERE NOT EXISTS (SELECT 1 FROM r0 WHERE r0.shard_id = u.shard_id AND r0.seq = u.x) GROUP BY 1),
+r AS (SELECT r0.* FROM r0 JOIN miss USING (shard_id) WHERE seq < x),
 k AS (SELECT shard_id, min(seq) AS blocked FROM r WHERE transaction_at >= boundary_at GROUP BY 1),
 scanned AS (SELECT r.*, k.blocked, coalesce(r.seq < k.blocked, true) AS deletable FROM r LEFT JOIN k USING (shard_id) WHERE k.blocked IS NULL OR r.seq <= k.blocked)"""
 
@@ -192,7 +192,8 @@ scanned AS (SELECT r.*, k.blocked, coalesce(r.seq < k.blocked, true) AS deletabl
 def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = book(spark, sf_dir)
     at = shards(rows).withColumn("gc_prefix_seq", F.lit(100).cast("long")).withColumn("coverage_seq", F.when(F.col("shard_id") == 0, F.col("latest_seq")).when(F.col("shard_id") != 2, F.col("latest_seq") - 200))
-    return W.safe_prefix(rows.where("not (shard_id = 1 and seq = 777)"), at, 1200)
+    short = rows.join(F.broadcast(at.select("shard_id", "latest_seq")), "shard_id").where("not (shard_id = 1 and seq = latest_seq * 4 div 5)").select(*rows.columns)
+    return W.safe_prefix(short, at, 1 << 40)
 
 
 @query("w06_safe_gc_prefix", over(SCAN, "SELECT shard_id, seq, account_id, blocked AS blocked_at_seq, deletable FROM scanned"))

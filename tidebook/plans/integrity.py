@@ -9,25 +9,19 @@ from pyspark.sql import functions as F
 from tidebook.operators import integrity as V
 from tidebook.operators import ledger as L
 from tidebook.operators.metrics import request_mix
-from tidebook.plans.ledger import book
+from tidebook.plans.ledger import book, upto
 from tidebook.plans.registry import query
 from tidebook.plans.sql import LEDGER, over
 from tidebook.sources import wal
 from tidebook.sources.tables import table
 
-UPTO = 1200
 CHECKPOINT = (
     LEDGER
-    + f""", last_ AS (SELECT shard_id, account_id, arg_max(balance, seq) AS balance FROM ledger WHERE seq <= {UPTO} GROUP BY 1, 2),
+    + """, last_ AS (SELECT shard_id, account_id, arg_max(balance, seq) AS balance FROM ledger GROUP BY 1, 2),
 chunks AS (SELECT *, CAST(row_number() OVER (PARTITION BY shard_id ORDER BY account_id) - 1 AS BIGINT) AS place FROM last_)"""
 )
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The snapshot that the SQL of v02 and v05 names."""
-    return V.snapshot(book(spark, sf_dir), UPTO)
-
-
 def head(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The snapshot at each shard's head."""
     return V.snapshot(book(spark, sf_dir))
@@ -45,10 +39,20 @@ def checkpoint_due(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("v02_snapshot_chunks", over(CHECKPOINT, "SELECT shard_id, account_id, balance, place, place // 1024 AS chunk FROM chunks"))
 def snapshot_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks(spark, sf_dir).select("shard_id", "account_id", "balance", "place", "chunk")
+    return head(spark, sf_dir).select("shard_id", "account_id", "balance", "place", "chunk")
+
+
+_BYTES = " || ".join(f"list_transform(range(56, -1, -8), lambda s: CAST(({x} >> s) & 255 AS UHUGEINT))" for x in ("account_id", "balance"))
+_FNV = "lambda h, b: CAST(xor(CAST(h AS UBIGINT), CAST(b AS UBIGINT)) AS UHUGEINT) * 1099511628211::UHUGEINT % 18446744073709551616::UHUGEINT"
 
 
-@query("v03_checksum")
+@query(
+    "v03_checksum",
+    over(
+        CHECKPOINT + f", bytes AS (SELECT shard_id, flatten(list({_BYTES} ORDER BY account_id)) AS b FROM last_ GROUP BY 1)",
+        f"SELECT shard_id, lpad(lower(to_hex(CAST(list_reduce(list_prepend(14695981039346656037::UHUGEINT, b), {_FNV}) AS UBIGINT))), 16, '0') AS checksum FROM bytes",
+    ),
+)
 def checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.checksums(head(spark, sf_dir))
 
@@ -70,16 +74,17 @@ def checkpoint_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("v05_orphan_chunks", over(CHECKPOINT + ", g AS (SELECT DISTINCT shard_id, place // 1024 AS chunk, unnest([1, 2, 3]) AS generation FROM chunks)", "SELECT shard_id, generation, chunk FROM g WHERE generation <> 2 OR shard_id = 3"))
 def orphan_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three generations of chunks, of which the manifests name the second; shard 3 has no manifest."""
-    all_ = chunks(spark, sf_dir).select("shard_id", "chunk").distinct().withColumn("generation", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    all_ = head(spark, sf_dir).select("shard_id", "chunk").distinct().withColumn("generation", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
     manifest = all_.where("generation = 2 and shard_id <> 3").select("shard_id", "generation").distinct()
     return V.orphans(all_, manifest)
 
 
 @query("v06_recovery_replay", over(LEDGER, "SELECT shard_id, account_id, arg_max(balance, seq) AS balance FROM ledger GROUP BY 1, 2"))
 def recovery_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A snapshot and the ledger's tail give the balances of the whole ledger."""
+    """A snapshot at three fifths of each shard and the tail after it give the balances of the whole ledger."""
     rows = book(spark, sf_dir)
-    return V.recovered(V.snapshot(rows, UPTO), rows.where(F.col("seq") > UPTO))
+    early = upto(rows)
+    return V.recovered(V.snapshot(early), rows.join(early.select("shard_id", "seq"), ["shard_id", "seq"], "left_anti"))
 
 
 @query(

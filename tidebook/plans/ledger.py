@@ -18,6 +18,12 @@ def book(spark: SparkSession, sf_dir: str) -> DataFrame:
     return committed(spark, sf_dir, "ledger", "events", lambda: L.ledger(requests(spark, sf_dir)).repartition("account_id").sortWithinPartitions("account_id", "tx_id"))
 
 
+def upto(rows: DataFrame, share: str = "head * 3 div 5") -> DataFrame:
+    """The rows of each shard up to a share of its head, which is one row a shard."""
+    heads = rows.groupBy("shard_id").agg(F.max("seq").alias("head"))
+    return rows.join(F.broadcast(heads), "shard_id").where(f"seq <= {share}").select(*rows.columns)
+
+
 def flat(df: DataFrame) -> DataFrame:
     """The refund's target as three columns."""
     return df.select(*(c for c in df.columns if c != "refund_of"), F.col("refund_of.account_id").alias("refund_account"), F.col("refund_of.tx_id").alias("refund_tx"), F.col("refund_of.transaction_at").alias("refund_at"))

@@ -29,15 +29,37 @@ def q(n: float) -> str:
 
 @query("m01_nearest_rank", SAMPLES + f" SELECT trial, stage, {q(0.5)} AS p50, {q(0.95)} AS p95, {q(0.99)} AS p99 FROM samples GROUP BY 1, 2")
 def nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples(spark, sf_dir).groupBy("trial", "stage").agg(*(M.nearest_rank("duration_ns", x).cast("long").alias(n) for n, x in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))))
+    return M.quantiles(samples(spark, sf_dir), ["trial", "stage"], "duration_ns", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
-@query("m02_reservoir")
+_MUL = "CAST(CAST({} AS UHUGEINT) * {}::UHUGEINT % 18446744073709551616 AS UBIGINT)"
+_M1, _M2 = (lambda x: _MUL.format(x, 13787848793156543929)), (lambda x: _MUL.format(x, 10723151780598845931))
+_GOLD = "11400714819323198485::UHUGEINT"
+
+
+def _splitmix(ctes: str, rows: str, seed: str, name: str) -> str:
+    """``ctes`` and a table ``name``: ``rows`` with z, the mixed hash of the unsigned expression ``seed``."""
+    first = f"{name}0 AS (SELECT *, CAST((CAST({seed} AS UHUGEINT) + {_GOLD}) % 18446744073709551616 AS UBIGINT) AS z FROM {rows})"
+    steps = [f"{name}{i} AS (SELECT * REPLACE ({x} AS z) FROM {name}{i - 1})" for i, x in ((1, _M1("xor(z, z >> 30)")), (2, _M2("xor(z, z >> 27)")))]
+    return ", ".join([ctes, first, *steps, f"{name} AS (SELECT * REPLACE (xor(z, z >> 31) AS z) FROM {name}2)"])
+
+
+STAGES = ["click", "error", "purchase", "signup", "view"]
+_NUMBERED = SAMPLES + f", n AS (SELECT stage, duration_ns, row_number() OVER (PARTITION BY stage ORDER BY logical_id) AS n, list_position({STAGES!r}, stage) AS number FROM samples)"
+
+
+@query(
+    "m02_reservoir",
+    _splitmix(_NUMBERED, "n", f"xor(CAST(n AS UBIGINT), CAST(CAST(number AS UHUGEINT) * {_GOLD} % 18446744073709551616 AS UBIGINT))", "h")
+    + """, p AS (SELECT stage, duration_ns, n, CASE WHEN n <= 256 THEN n - 1 ELSE CAST(z % CAST(n AS UBIGINT) AS BIGINT) END AS place FROM h),
+k AS (SELECT stage, place, arg_max(duration_ns, n) AS value FROM p WHERE place < 256 GROUP BY 1, 2), e AS (SELECT stage, count(*) AS count, avg(duration_ns) AS mean, max(duration_ns) AS max FROM samples GROUP BY 1)
+SELECT * FROM k JOIN e USING (stage)""",
+)
 def reservoir(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A reservoir of 256 a stage with the exact count, mean and maximum beside it."""
     rows = samples(spark, sf_dir)
     exact = rows.groupBy("stage").agg(F.count("*").alias("count"), F.avg("duration_ns").alias("mean"), F.max("duration_ns").alias("max"))
-    return M.reservoir(rows, "stage", "logical_id", "duration_ns", 256).join(exact, "stage")
+    return M.reservoir(rows, "stage", "logical_id", "duration_ns", STAGES, 256).join(exact, "stage")
 
 
 @query(
@@ -54,8 +76,9 @@ def trailing_rps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m04_stage_snapshot", SAMPLES + f" SELECT stage, count(*) AS count, avg(duration_ns) AS mean, max(duration_ns) AS max, CAST(sum(duration_ns) AS BIGINT) AS total, {q(0.5)} AS p50, {q(0.99)} AS p99 FROM samples GROUP BY 1")
 def stage_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = samples(spark, sf_dir).groupBy("stage")
-    return rows.agg(F.count("*").alias("count"), F.avg("duration_ns").alias("mean"), F.max("duration_ns").alias("max"), M.u128_sum("duration_ns").cast("long").alias("total"), M.nearest_rank("duration_ns", 0.5).cast("long").alias("p50"), M.nearest_rank("duration_ns", 0.99).cast("long").alias("p99"))
+    rows = samples(spark, sf_dir)
+    plain = rows.groupBy("stage").agg(F.count("*").alias("count"), F.avg("duration_ns").alias("mean"), F.max("duration_ns").alias("max"), M.u128_sum("duration_ns").cast("long").alias("total"))
+    return M.beside(plain, M.quantiles(rows, ["stage"], "duration_ns", {"p50": 0.5, "p99": 0.99}), ["stage"])
 
 
 @query(
@@ -79,8 +102,6 @@ def interval_sampler(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("hour", "total", delta.alias("delta"), (delta * 1_000_000.0 / (F.col("tm") - F.lag("tm").over(w))).alias("rate"))
 
 
-_MUL = "CAST(CAST({} AS UHUGEINT) * {}::UHUGEINT % 18446744073709551616 AS UBIGINT)"
-_M1, _M2 = (lambda x: _MUL.format(x, 13787848793156543929)), (lambda x: _MUL.format(x, 10723151780598845931))
 _MIXED = (
     SAMPLES
     + """, h0 AS (SELECT user_id, logical_id, xor(CAST(user_id * 131072 AS UBIGINT), CAST(logical_id AS UBIGINT)) AS x, CAST((CAST(logical_id AS UHUGEINT) + 11400714819323198485::UHUGEINT) % 18446744073709551616 AS UBIGINT) AS y FROM samples),
@@ -112,8 +133,10 @@ def latency_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "m09_request_mix",
-    """WITH r AS (SELECT range % 100 AS account_id, range // 100 AS idx FROM range(40000)), s AS (SELECT *, (idx * 73 + account_id * 31) % 200 AS slot FROM r)
-SELECT account_id, CASE WHEN idx % 2 = 0 THEN 'credit' ELSE 'debit' END AS operation, CASE WHEN slot < 5 THEN 'late_hit' WHEN slot < 10 THEN 'late_miss' ELSE 'fresh' END AS class, count(*) AS n FROM s GROUP BY 1, 2, 3""",
+    _splitmix("WITH r AS (SELECT range % 100 AS account_id, range // 100 AS idx FROM range(40000))", "r", "account_id", "h")
+    + """, s AS (SELECT account_id, (idx % 200 * 37 + CAST(z % 200 AS BIGINT)) % 200 AS slot FROM h)
+SELECT account_id, CASE WHEN slot % 2 = 0 THEN 'credit' ELSE 'debit' END AS operation,
+  CASE WHEN slot >= 10 THEN 'fresh' WHEN account_id % 2 = 0 AND slot < 5 OR account_id % 2 = 1 AND slot IN (1, 2, 3, 8, 9) THEN 'late_hit' ELSE 'late_miss' END AS class, count(*) AS n FROM s GROUP BY 1, 2, 3""",
 )
 def request_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.request_mix(spark, 100, 400, 5).groupBy("account_id", "operation", "class").agg(F.count("*").alias("n"))
@@ -121,7 +144,9 @@ def request_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m10_pattern_workload")
 def pattern_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.pattern_workload(spark, 200, 20)
+    """Both workloads, of 200 accounts each."""
+    both = [M.pattern_workload(spark, 200, kind).withColumn("workload", F.lit(kind)) for kind in M.PATTERNS]
+    return both[0].unionByName(both[1])
 
 
 @query(
@@ -130,7 +155,8 @@ def pattern_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = samples(spark, sf_dir).unpivot(["trial"], ["duration_ns", "user_id"], "metric", "value")
-    return long.groupBy("trial", "metric").agg(F.count("*").alias("count"), F.avg("value").alias("mean"), *(M.nearest_rank("value", x).cast("long").alias(n) for n, x in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))))
+    plain = long.groupBy("trial", "metric").agg(F.count("*").alias("count"), F.avg("value").alias("mean"))
+    return M.beside(plain, M.quantiles(long, ["trial", "metric"], "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99}), ["trial", "metric"])
 
 
 @query("m12_shard_peaks", SAMPLES + ", h AS (SELECT user_id % 4 AS shard_id, tm // 3600000000 AS hour, count(*) AS n, max(duration_ns) AS top FROM samples GROUP BY 1, 2) SELECT shard_id, max(n) AS peak_requests, max(top) AS peak_duration FROM h GROUP BY 1")
@@ -153,7 +179,7 @@ UNION ALL SELECT 'routing', (SELECT bool_and(user_id % 4 BETWEEN 0 AND 3) FROM s
 def artifact_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recomputed figures against claimed ones, one of them wrong on purpose, and two lists of sample ids."""
     rows = samples(spark, sf_dir)
-    actual = rows.groupBy("stage").agg(F.count("*").alias("n"), M.nearest_rank("duration_ns", 0.95).cast("long").alias("p95"))
+    actual = M.beside(rows.groupBy("stage").agg(F.count("*").alias("n")), M.quantiles(rows, ["stage"], "duration_ns", {"p95": 0.95}), ["stage"])
     claimed = actual.select("stage", (F.col("n") + F.when(F.col("stage") == "view", 1).otherwise(0)).alias("cn"), F.col("p95").alias("cp"))
     held = claimed.join(actual, "stage").select(F.concat(F.lit("stage:"), F.col("stage")).alias("item"), ((F.col("cn") == F.col("n")) & (F.col("cp") == F.col("p95"))).alias("holds"))
     kept = rows.where("logical_id % 64 = 0").select("logical_id")

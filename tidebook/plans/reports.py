@@ -87,13 +87,16 @@ def pivot_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("ratio", F.col("error") / F.nullif(F.col("click"), F.lit(0)))
 
 
-_WINDOW = COUNTERS + f""", w AS (SELECT *, lag(value) OVER (PARTITION BY series ORDER BY tm) AS p, lag(tm) OVER (PARTITION BY series ORDER BY tm) AS q FROM counters WHERE tm BETWEEN {START} AND {END}),
-g AS (SELECT series, count(*) AS samples, arg_min(value, tm) AS first, arg_max(value, tm) AS last, min(tm) AS t0, max(tm) AS t1, count(*) FILTER (WHERE value < p) AS resets, count(*) FILTER (WHERE tm - q > 3600000000) AS gaps FROM w GROUP BY 1)"""
+GAP = 4 * 3_600_000_000
+_WINDOW = COUNTERS + f""", w AS (SELECT *, tm // 7 AS spent, lag(value) OVER (PARTITION BY series ORDER BY tm) AS p, lag(tm) OVER (PARTITION BY series ORDER BY tm) AS q FROM counters WHERE tm BETWEEN {START} AND {END}),
+g AS (SELECT series, count(*) AS samples, arg_min(value, tm) AS first, arg_max(value, tm) AS last, min(tm) AS t0, max(tm) AS t1, count(*) FILTER (WHERE value < p) AS resets, count(*) FILTER (WHERE tm - q > {GAP}) AS gaps, arg_max(spent, tm) - arg_min(spent, tm) AS spent FROM w GROUP BY 1),
+p AS (SELECT *, CASE WHEN samples < 2 THEN 'samples' WHEN t1 <= t0 THEN 'time' WHEN gaps > 0 THEN 'gap' WHEN resets > 0 THEN 'reset' END AS problem FROM g), d AS (SELECT *, CASE WHEN problem IS NULL THEN last - first END AS delta FROM p)"""
 
 
-@query("a10_counter_window", _WINDOW + " SELECT *, CASE WHEN resets = 0 AND samples > 1 THEN last - first END AS delta, CASE WHEN resets = 0 AND samples > 1 THEN (last - first) / nullif(t1 - t0, 0) END AS rate FROM g")
+@query("a10_counter_window", _WINDOW + ' SELECT * EXCLUDE (spent), delta / nullif(t1 - t0, 0) AS rate, CASE WHEN delta IS NOT NULL THEN spent END / nullif(delta, 0) AS "await" FROM d')
 def counter_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.counter_window(counters(spark, sf_dir), ["series"], "tm", "value", START, END, 3_600_000_000)
+    rows = counters(spark, sf_dir).withColumn("spent", F.floor(F.col("tm") / 7))
+    return R.counter_window(rows, ["series"], "tm", "value", START, END, GAP, "spent")
 
 
 @query(
@@ -145,13 +148,17 @@ def bracketing(spark: SparkSession, sf_dir: str) -> DataFrame:
 SNAPSHOTS = SAMPLES + ", a AS (SELECT stage, user_id % 7 AS object, count(*) AS v FROM samples WHERE logical_id % 3 <> 0 AND user_id % 7 <> 3 GROUP BY 1, 2), b AS (SELECT stage, user_id % 7 AS object, count(*) AS v FROM samples WHERE user_id % 7 <> 5 OR logical_id % 9 = 0 GROUP BY 1, 2)"
 
 
-@query("a14_snapshot_delta", SNAPSHOTS + " SELECT stage, object, a.v AS before, b.v AS after, coalesce(b.v, 0) - coalesce(a.v, 0) AS delta, coalesce(b.v, 0) < coalesce(a.v, 0) AS reset FROM a FULL JOIN b USING (stage, object)")
+@query(
+    "a14_snapshot_delta",
+    SNAPSHOTS
+    + """ SELECT stage, object, a.v AS before, b.v AS after, CASE WHEN a.v IS NOT NULL AND b.v >= a.v THEN b.v - a.v END AS delta,
+  CASE WHEN a.v IS NULL OR b.v IS NULL THEN 'not_available' WHEN b.v >= a.v THEN 'valid' ELSE 'reset_or_counter_decrease' END AS status FROM a FULL JOIN b USING (stage, object)""",
+)
 def snapshot_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = samples(spark, sf_dir).withColumn("object", F.pmod("user_id", F.lit(7)))
-    a = s.where("logical_id % 3 <> 0 and object <> 3").groupBy("stage", "object").agg(F.count("*").alias("before"))
-    b = s.where("object <> 5 or logical_id % 9 = 0").groupBy("stage", "object").agg(F.count("*").alias("after"))
-    x, y = F.coalesce("before", F.lit(0)), F.coalesce("after", F.lit(0))
-    return a.join(b, ["stage", "object"], "full").select("stage", "object", "before", "after", (y - x).alias("delta"), (y < x).alias("reset"))
+    a = s.where("logical_id % 3 <> 0 and object <> 3").groupBy("stage", "object").agg(F.count("*").alias("v"))
+    b = s.where("object <> 5 or logical_id % 9 = 0").groupBy("stage", "object").agg(F.count("*").alias("v"))
+    return R.snapshot_delta(a, b, ["stage", "object"], "v")
 
 
 @query(
@@ -190,24 +197,34 @@ def time_weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("stage").agg(R.weighted_mean("duration_ns", "dt").alias("mean"), F.count("*").alias("intervals"))
 
 
+_ENDED = "CASE nation % 3 WHEN 0 THEN 'cap' WHEN 1 THEN 'stop-rule' ELSE 'failure-limit' END"
+
+
 @query(
     "a19_saturation_point",
-    CURVE + ", top AS (SELECT nation, max(y) AS top, arg_max(x, y) AS top_x, max(x) AS last_x FROM curve GROUP BY 1) SELECT c.nation, min(c.x) AS x, t.top, CASE WHEN t.top_x = t.last_x THEN 'observed-range' ELSE 'saturated' END AS label FROM curve c JOIN top t USING (nation) WHERE c.y >= t.top * 0.95 GROUP BY c.nation, t.top, t.top_x, t.last_x",
+    CURVE
+    + f""", m AS (SELECT nation, max(y) AS top, max(x) AS largest FROM curve GROUP BY 1), s AS (SELECT c.nation, m.top, m.largest, min(c.x) AS x FROM curve c JOIN m USING (nation) WHERE c.y >= 0.95 * m.top GROUP BY ALL)
+SELECT nation, x, top, CASE WHEN x = largest THEN 'observed-grid saturation' ELSE 'saturation point' END AS label, CASE WHEN {_ENDED} IN ('failure-limit', 'cap') THEN 'observed-range' ELSE 'saturation point' END AS range_label FROM s""",
 )
 def saturation_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.saturation(curve(spark, sf_dir), ["nation"], "x", "y")
+    """Both labels: by the grid, and by why the series ended (made up from the nation's number)."""
+    rows = curve(spark, sf_dir).withColumn("ended", F.expr(_ENDED))
+    ranges = R.saturation(rows, ["nation"], "x", "y", ended="ended").select("nation", F.col("label").alias("range_label"))
+    return R.saturation(rows, ["nation"], "x", "y").join(ranges, "nation")
 
 
-ATTEMPTS = "WITH a AS (SELECT o_custkey % 200 AS point, o_orderkey AS ord, CASE WHEN o_orderkey % 3 = 0 THEN 'rerun' ELSE 'primary' END AS role, CASE WHEN o_orderstatus = 'F' THEN 'failed' ELSE 'ok' END AS status FROM orders)"
+ATTEMPTS = "WITH a AS (SELECT o_custkey % 200 AS point, o_orderkey AS ord, CASE WHEN o_orderkey % 3 = 0 THEN 'flush_rerun' ELSE 'primary' END AS role, CASE WHEN o_orderstatus = 'F' THEN 'failed' ELSE 'ok' END AS status FROM orders)"
 
 
 @query(
     "a20_effective_row",
-    ATTEMPTS + ", p AS (SELECT *, max(ord) FILTER (WHERE role = 'primary') OVER (PARTITION BY point) AS p FROM a WHERE status = 'ok') SELECT point, arg_max(role, ord) AS role, max(ord) AS ord FROM p WHERE ord = p OR (role = 'rerun' AND ord > p) GROUP BY 1",
+    ATTEMPTS
+    + """, g AS (SELECT point, max(ord) FILTER (WHERE role = 'primary' AND status = 'ok') AS p, max(ord) FILTER (WHERE role = 'flush_rerun') AS r, arg_max(status, ord) FILTER (WHERE role = 'flush_rerun') AS s FROM a GROUP BY 1)
+SELECT point, CASE WHEN s = 'ok' THEN 'flush_rerun' ELSE 'primary' END AS role, CASE WHEN s = 'ok' THEN r ELSE p END AS ord, CASE WHEN s <> 'ok' THEN 'flush>2ms, rerun failed' END AS note FROM g WHERE p IS NOT NULL""",
 )
 def effective_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 200).alias("point"), F.col("o_orderkey").alias("ord"), F.when(F.col("o_orderkey") % 3 == 0, "rerun").otherwise("primary").alias("role"), F.when(F.col("o_orderstatus") == "F", "failed").otherwise("ok").alias("status"))
-    return R.effective(a, ["point"], "role", "status", "ord").select("point", "role", "ord")
+    a = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 200).alias("point"), F.col("o_orderkey").alias("ord"), F.when(F.col("o_orderkey") % 3 == 0, "flush_rerun").otherwise("primary").alias("role"), F.when(F.col("o_orderstatus") == "F", "failed").otherwise("ok").alias("status"))
+    return R.effective(a, ["point"], "role", "status", "ord").select("point", "role", "ord", "note")
 
 
 @query(
@@ -218,9 +235,10 @@ def stop_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.stop_points(curve(spark, sf_dir), ["nation"], "x", "y", 1.2)
 
 
-@query("a22_plateau_onset", CURVE + ", f AS (SELECT *, lead(y, 1) OVER w AS y1, lead(y, 2) OVER w AS y2 FROM curve WINDOW w AS (PARTITION BY nation ORDER BY x)) SELECT nation, min(x) AS onset_x FROM f WHERE y1 < y * 1.12 AND y2 < y1 * 1.12 GROUP BY 1")
+@query("a22_plateau_onset", CURVE + ", f AS (SELECT a.nation, a.x FROM curve a JOIN curve b ON b.nation = a.nation AND b.x = 2 * a.x JOIN curve c ON c.nation = a.nation AND c.x = 4 * a.x WHERE a.x IN (1, 2) AND b.y < a.y * 1.42 AND c.y < b.y * 1.42) SELECT nation, min(x) AS onset_x FROM f GROUP BY 1")
 def plateau_onset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.onset(curve(spark, sf_dir), ["nation"], "x", "y", 0.12)
+    """Over the settings 1, 2, 4 and 8."""
+    return R.onset(curve(spark, sf_dir).where(F.col("x").isin(1, 2, 4, 8)), ["nation"], "x", "y", 0.42)
 
 
 @query("a23_smallest_within", CURVE + ", b AS (SELECT nation, max(y) AS best FROM curve GROUP BY 1) SELECT nation, min(x) AS x, any_value(best) AS top FROM curve JOIN b USING (nation) WHERE y >= best * 0.9 GROUP BY 1")
@@ -244,18 +262,31 @@ def replicate_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "x").select("x", "first", "second", percent.alias("percent"), (percent > 10).alias("flagged"))
 
 
-@query("a26_cause_classification", "SELECT p_partkey, CASE WHEN p_name LIKE '%ring%' THEN 'queue' WHEN p_name LIKE '%red%' THEN 'storage' ELSE 'unknown' END AS cause FROM part")
+_FAILURE = "CASE p_partkey % 5 WHEN 0 THEN 'OOM killed' WHEN 1 THEN 'Request Timeout' WHEN 2 THEN concat(p_name, ' sampler lost') WHEN 3 THEN p_name END"
+_INVALID = "CASE p_partkey % 7 WHEN 0 THEN 'exit 8176' WHEN 1 THEN 'sampler and timeout' ELSE '' END"
+_CLEANUP = "CASE p_partkey % 11 WHEN 0 THEN 'partial' WHEN 1 THEN '' ELSE 'success' END"
+
+
+@query(
+    "a26_cause_classification",
+    f"""WITH t AS (SELECT p_partkey, lower(concat_ws(' ', {_FAILURE}, {_INVALID})) AS x, {_CLEANUP} AS c FROM part)
+SELECT p_partkey, CASE WHEN c NOT IN ('', 'success') THEN 'cleanup residue' WHEN regexp_matches(x, '8176|memory|oom') THEN 'memory (8176)' WHEN x LIKE '%timeout%' THEN 'timeout' WHEN x LIKE '%sampler%' THEN 'sampler' ELSE 'other' END AS cause FROM t""",
+)
 def cause_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("p_name")
-    return table(spark, sf_dir, "part").select("p_partkey", F.when(n.contains("ring"), "queue").when(n.contains("red"), "storage").otherwise("unknown").alias("cause"))
+    return table(spark, sf_dir, "part").select("p_partkey", R.cause(F.expr(_FAILURE), F.expr(_INVALID), F.expr(_CLEANUP)).alias("cause"))
+
 
+_PIECES = [(c, p) for c, pieces in R.CATEGORIES.items() for p in pieces]
+_NAMES = ["scylla_reactor_utilization", "Coordinator_Write_Latency_sum", "cache_hit_pending_tasks", "memtable_flushes", "compaction_backlog", "scylla_commitlog_flush", "storage_write_errors", "read_timeouts_total", "transport_server_bytes", "uptime"]
 
-@query("a27_name_categories", "WITH c(category, piece) AS (VALUES ('shape', 'ring'), ('shape', 'widget'), ('colour', 'red'), ('size', 'small')) SELECT p_partkey, category, count(*) AS pieces FROM part JOIN c ON contains(p_name, piece) GROUP BY 1, 2")
+
+@query(
+    "a27_name_categories",
+    f"WITH n AS (SELECT p_partkey, concat(p_name, '_', {_NAMES!r}[p_partkey % 10 + 1]) AS name FROM part), c(category, piece) AS (VALUES {', '.join(map(str, _PIECES))}) SELECT DISTINCT p_partkey, category FROM n JOIN c ON contains(lower(name), piece)",
+)
 def name_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fixed list of four pieces, matched by containment; pieces that are words' parts need no shuffle."""
-    pieces = [("shape", "ring"), ("shape", "widget"), ("colour", "red"), ("size", "small")]
-    hits = F.filter(F.array(*(F.when(F.col("p_name").contains(p), F.lit(c)) for c, p in pieces)), lambda x: x.isNotNull())
-    return table(spark, sf_dir, "part").select("p_partkey", F.explode(hits).alias("category")).groupBy("p_partkey", "category").agg(F.count("*").alias("pieces"))
+    name = F.concat("p_name", F.lit("_"), F.element_at(F.array(*(F.lit(n) for n in _NAMES)), (F.col("p_partkey") % 10 + 1).cast("int")))
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(R.categories(name)).alias("category"))
 
 
 @query("a28_durability", "SELECT l_returnflag, CAST(sum(l_quantity) AS BIGINT) AS writes, CAST(sum(l_quantity) AS BIGINT) + count(*) FILTER (WHERE l_linenumber = 7) AS syncs, abs(count(*) FILTER (WHERE l_linenumber = 7)) <= 0.01 * CAST(sum(l_quantity) AS BIGINT) AS agree FROM lineitem GROUP BY 1")

@@ -148,17 +148,32 @@ def insert_ignore_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accounts(spark, sf_dir).join(sums, "account_id", "left").select("account_id", F.coalesce("s", F.lit(0)).alias("added"), F.coalesce("n", F.lit(0)).alias("inserted"))
 
 
-CHAIN = (
+# Every 97th account's balance, and every 89th one's expected count, is off by one.
+CLAIMED = (
     AFTER
-    + """, numbered AS (SELECT *, row_number() OVER w AS rn, lag(after_balance) OVER w AS prev, count(*) OVER (PARTITION BY account_id) AS n FROM entries WINDOW w AS (PARTITION BY account_id ORDER BY before_balance, transaction_id)),
-chained AS (SELECT account_id, count(*) AS rows, min(before_balance) FILTER (WHERE rn = 1) AS start, max(after_balance) FILTER (WHERE rn = n) AS end_, CAST(sum(amount) AS BIGINT) AS amount,
-  bool_and(coalesce(prev = before_balance, true) AND after_balance = before_balance + amount) AS linked FROM numbered GROUP BY 1)"""
+    + """, claimed AS (SELECT a.account_id, a.balance AS opening, a.balance + CAST(coalesce(sum(e.amount), 0) AS BIGINT) + CASE WHEN a.account_id % 97 = 0 THEN 1 ELSE 0 END AS balance,
+  count(e.amount) + CASE WHEN a.account_id % 89 = 0 THEN 1 ELSE 0 END AS expected FROM accounts a LEFT JOIN entries e USING (account_id) GROUP BY a.account_id, a.balance),
+ordered AS (SELECT account_id, amount, before_balance, after_balance, lag(after_balance) OVER w AS prev_after, row_number() OVER w AS rn, count(*) OVER (PARTITION BY account_id) AS n FROM entries WINDOW w AS (PARTITION BY account_id ORDER BY before_balance, transaction_id)),
+checks AS (SELECT account_id, count(*) AS ledger_count, min(before_balance) FILTER (WHERE rn = 1) AS first_before, max(after_balance) FILTER (WHERE rn = n) AS last_after, bool_and(after_balance = before_balance + amount) AS amount_ok,
+  bool_and(prev_after IS NULL OR before_balance = prev_after) AS chain_ok FROM ordered GROUP BY 1),
+per AS (SELECT a.*, coalesce(c.ledger_count, 0) AS ledger_count, c.first_before, c.last_after, c.amount_ok, c.chain_ok FROM claimed a LEFT JOIN checks c USING (account_id))"""
 )
 
 
-@query("q12_chain_verification", over(CHAIN, 'SELECT account_id, rows, start, end_ AS "end", amount, linked FROM chained'))
+@query(
+    "q12_chain_verification",
+    over(
+        CLAIMED,
+        """SELECT count(*) AS accounts, count(*) FILTER (WHERE ledger_count <> expected OR first_before <> opening OR last_after <> balance OR NOT coalesce(amount_ok, false) OR NOT coalesce(chain_ok, false)) AS bad,
+  CAST(coalesce(sum(balance), 0) AS BIGINT) AS balance, CAST(coalesce(sum(ledger_count), 0) AS BIGINT) AS rows FROM per""",
+    ),
+)
 def chain_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.chain(everything(spark, sf_dir))
+    k, entries = F.col("account_id"), everything(spark, sf_dir)
+    sums = entries.groupBy("account_id").agg(F.sum("amount").alias("s"), F.count("*").alias("n"))
+    off = lambda m: F.when(k % m == 0, 1).otherwise(0)
+    claimed = accounts(spark, sf_dir).join(sums, "account_id", "left").select(k, F.col("balance").alias("opening"), (F.col("balance") + F.coalesce("s", F.lit(0)) + off(97)).alias("balance"), (F.coalesce("n", F.lit(0)) + off(89)).alias("expected"))
+    return X.verified(claimed, entries)
 
 
 @query(
