@@ -2,7 +2,7 @@
 
 import struct
 
-
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -119,6 +119,9 @@ def test_nearest_rank_median_and_rates(spark):
     assert ten.agg(M.nearest_rank("id", 0.5).alias("a"), M.nearest_rank("id", 0.95).alias("b")).first()[:] == (5.0, 10.0)
     assert ten.limit(0).agg(M.nearest_rank("id", 0.5)).first()[0] is None
     assert R.repeats(ten.withColumn("k", F.lit(1)), ["k"], "id").first()["median"] == 5.5
+    far = spark.createDataFrame([(k, v) for k in ("a", None) for v in [7, 7, 10**15, -(10**12), 3, 3, 3, 10**18]] + [("b", None)], "k string, v long")
+    got = {r["k"]: (r["a"], r["b"], r["c"]) for r in M.quantiles(far, ["k"], "v", {"a": 0.1, "b": 0.5, "c": 1.0}).collect()}
+    assert got == {"a": (-(10**12), 3, 10**18), None: (-(10**12), 3, 10**18)}
     per = spark.createDataFrame([(1, 10), (2, 20), (11, 5)], "s long, n long")
     assert [r["rps_10"] for r in M.trailing_rates(per, "s", "n").orderBy("s").collect()] == [1.0, 3.0, 2.5]
 
@@ -128,9 +131,54 @@ def test_request_mix_is_exact_in_each_block(spark):
     assert {(r["account_id"], r["class"]): r["count"] for r in mix} == {(a, c): n for a in range(3) for c, n in (("late_hit", 5), ("late_miss", 5), ("fresh", 190))}
 
 
+def plain_pattern(account, kind):
+    """One account's operations, drawn one at a time."""
+    names, salt = M.PATTERNS[kind]
+    if kind == "credit_debit" and account < 2:
+        return M.PAIR[account]
+    seed = int(M.mix64(np.array([account ^ salt], np.uint64))[0])
+    while True:
+        drawn = list(names)
+        for i in range(9, 0, -1):
+            for turn in (13, -7, 17):
+                seed ^= (seed << turn if turn > 0 else seed >> -turn) & (2**64 - 1)
+            j = seed % (i + 1)
+            drawn[i], drawn[j] = drawn[j], drawn[i]
+        at = drawn.index("credit")
+        drawn[0], drawn[at] = drawn[at], drawn[0]
+        balance, debit, good = 0, False, True
+        for x in drawn:
+            good &= not (x == "debit" and balance == 0) and not (x == "refund" and not debit)
+            balance += {"credit": 1, "refund": 1, "debit": -1, "balance": 0}[x]
+            debit |= x == "debit"
+        if good:
+            return drawn
+
+
+def test_patterns_of_workloads(spark):
+    for kind in M.PATTERNS:
+        rows = M.pattern_workload(spark, 60, kind).orderBy("account_id", "wave").collect()
+        for a in range(60):
+            mine = rows[10 * a : 10 * a + 10]
+            assert [r["operation"] for r in mine] == list(plain_pattern(a, kind)) and {r["account_id"] for r in mine} == {a}
+            offset, last = 0, None
+            for r in mine:
+                assert r["tx_offset"] == offset and (r["operation"] != "refund" or r["refund_offset"] == last)
+                last = offset if r["operation"] == "debit" else last
+                offset += r["operation"] != "balance"
+
+
+def test_unknown_sequences_and_gaps_stop_collection(spark):
+    rows = spark.createDataFrame([(0, s, 5) for s in (1, 2, 4, 5, 6)] + [(1, 1, 5), (2, 1, 5)], "shard_id int, seq long, transaction_at long")
+    shape = "shard_id int, boundary_at long, boundary_seq long, latest_seq long, projected_seq long, coverage_seq long, gc_prefix_seq long"
+    whole = spark.createDataFrame([(0, 9, 6, 6, 6, 6, 0), (1, 9, 6, 6, 6, None, 0), (2, 9, None, 6, 6, 6, 0)], shape)
+    assert sorted((r["shard_id"], r["seq"]) for r in W.safe_prefix(rows, whole, 100).where("deletable").collect()) == [(0, 1), (0, 2)]
+    assert [r["seq"] for r in W.safe_prefix(rows.where("seq > 1"), whole, 100).collect()] == []
+
+
 def test_reservoir_is_bounded_and_the_same_twice(spark):
     rows = spark.range(1000).select(F.lit("s").alias("stage"), "id", (F.col("id") * 2).alias("v"))
-    a, b = (sorted(map(tuple, M.reservoir(rows, "stage", "id", "v", 64).collect())) for _ in range(2))
+    a, b = (sorted(map(tuple, M.reservoir(rows, "stage", "id", "v", ["s"], 64).collect())) for _ in range(2))
     assert a == b and len(a) == 64 and len({x[2] for x in a}) == 64
 
 
@@ -142,11 +190,13 @@ def test_counter_reset_has_no_delta(spark):
 
 def test_saturation_and_stop_rules(spark):
     curve = spark.createDataFrame([("c", x, y) for x, y in ((1, 50), (2, 90), (4, 96), (8, 100), (16, 101))], "k string, x long, y long")
-    assert R.saturation(curve, ["k"], "x", "y").first()[:] == ("c", 4, 101, "observed-range")
+    assert R.saturation(curve, ["k"], "x", "y").first()[:] == ("c", 4, 101, "saturation point")
+    assert R.saturation(curve.where("x < 5"), ["k"], "x", "y").first()["label"] == "observed-grid saturation"
+    assert R.saturation(curve.withColumn("why", F.lit("cap")), ["k"], "x", "y", ended="why").first()["label"] == "observed-range"
     assert R.stop_points(curve, ["k"], "x", "y").first()["stop_x"] == 16
     assert R.onset(curve, ["k"], "x", "y").first()["onset_x"] == 4
-    tries = spark.createDataFrame([(1, "primary", "ok", 1), (1, "rerun", "ok", 2), (2, "primary", "failed", 1), (2, "rerun", "ok", 2), (3, "primary", "ok", 5), (3, "rerun", "ok", 4)], "k long, role string, status string, o long")
-    assert sorted((r["k"], r["role"], r["o"]) for r in R.effective(tries, ["k"], "role", "status", "o").collect()) == [(1, "rerun", 2), (3, "primary", 5)]
+    tries = spark.createDataFrame([(1, "primary", "ok", 1), (1, "rerun", "ok", 2), (2, "primary", "failed", 1), (2, "rerun", "ok", 2), (3, "primary", "ok", 5), (3, "rerun", "ok", 4), (4, "primary", "ok", 1), (4, "rerun", "ok", 2), (4, "rerun", "failed", 3)], "k long, role string, status string, o long")
+    assert sorted((r["k"], r["role"], r["o"]) for r in R.effective(tries, ["k"], "role", "status", "o").collect()) == [(1, "rerun", 2), (3, "rerun", 4), (4, "primary", 1)]
 
 
 def test_exposition_lines(spark):

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidebook import service
 from tidebook.config import Settings
+from tidebook.operators import ledger as L
 from tidebook.schemas import requests_type
 from tidebook.service import Ledger
 from tidebook.sources import commands, files
@@ -47,6 +49,85 @@ def test_life_of_a_ledger(spark, tmp_path):
         Ledger(spark, str(tmp_path / "l"), str(tmp_path / "h"), Settings(shards=2))
 
 
+def test_an_earlier_identity_gives_its_first_replies(spark, tmp_path):
+    book = Ledger(spark, str(tmp_path / "l"), str(tmp_path / "h"), Settings(shards=2, retention=10, projection_batch=2))
+    one = rows(spark, *((i, i % 4, i, 5, "credit", 1, None) for i in range(12)))
+    two = rows(spark, *((i, i % 4, 100 + i, 50, "debit", 1, None) for i in range(8)))
+    first = got(book.submit(one, "one"))
+    second = got(book.submit(two, "two"))
+    assert len(first) == 12 and len(second) == 8 and not any(x[4] for x in first + second)
+    assert got(book.submit(one, "one")) == first
+    assert book.project() == 20 and book.advance(20) == {0: 10, 1: 10} and sum(x["deleted"] for x in book.collect()) == 12
+    assert got(book.submit(one, "one")) == first and got(book.submit(two, "two")) == second
+    assert book.status().agg(F.sum("latest_seq")).first()[0] == 20 and not book.verify().collect()
+    plan = L.applied(one, L.touched(book.known(), one), 2, starts=spark.createDataFrame([(0, 0)], "shard_id int, latest_seq long"))
+    assert "LeftSemi" in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_checkpoints_bound_collection(spark, tmp_path):
+    def opened():
+        return Ledger(spark, str(tmp_path / "l"), str(tmp_path / "h"), Settings(shards=1, retention=10, checkpoint=2))
+
+    book = opened()
+    book.submit(rows(spark, (0, 0, 1, 10, "credit", 2, None)), "a")
+    assert book.project() == 1 and book.advance(110) == {0: 100}
+    assert sum(x["deleted"] for x in book.collect()) == 0  # no checkpoint covers the row
+    book.submit(rows(spark, (0, 0, 2, 200, "credit", 3, None)), "b")
+    assert [x["deleted"] for x in book.collect()] == [1]
+    again = opened()
+    assert [tuple(r) for r in again.balances().collect()] == [(0, 5)] and again.ledger().count() == 1
+    again.submit(rows(spark, (0, 7, 1, 300, "credit", 4, None)), "c")
+    assert [tuple(r) for r in again.balances().collect()] == [(0, 5), (7, 4)]
+
+
+def test_a_missing_or_lagging_history_is_refused(spark, tmp_path):
+    at = str(tmp_path / "l"), str(tmp_path / "h"), Settings(shards=1, retention=10)
+    book = Ledger(spark, *at)
+    book.submit(rows(spark, (0, 0, 1, 10, "credit", 2, None), (1, 0, 2, 11, "credit", 2, None)), "a")
+    book.project()
+    Ledger(spark, *at)
+    (tmp_path / "h").rename(tmp_path / "gone")
+    with pytest.raises(ValueError, match="missing"):
+        Ledger(spark, *at)
+    behind = Ledger(spark, str(tmp_path / "l2"), str(tmp_path / "h2"), at[2])
+    behind.submit(rows(spark, (0, 0, 1, 10, "credit", 2, None)), "a")
+    behind.project()
+    (tmp_path / "h2").rename(tmp_path / "h")
+    with pytest.raises(ValueError, match="behind"):
+        Ledger(spark, *at)
+
+
+def test_projection_tries_again_and_stops(spark, tmp_path, monkeypatch):
+    book = Ledger(spark, str(tmp_path / "l"), str(tmp_path / "h"), Settings(shards=1))
+    book.submit(rows(spark, (0, 0, 1, 10, "credit", 2, None)), "a")
+    waits, calls, commit = [], [], book.history.commit
+    monkeypatch.setattr(service, "sleep", waits.append)
+
+    def failing(*a, **k):
+        calls.append(1)
+        if len(calls) <= fails:
+            raise RuntimeError("away")
+        return commit(*a, **k)
+
+    monkeypatch.setattr(book.history, "commit", failing)
+    fails = 5
+    with pytest.raises(RuntimeError):
+        book.project()
+    assert waits == [0.1, 0.2, 0.4, 0.8] and len(calls) == 5
+    fails = 7
+    assert book.project() == 1 and len(calls) == 8
+
+
+def test_ranges_and_lookups_are_checked(spark):
+    book = spark.createDataFrame([(0, s) for s in (1, 2, 4)], "shard_id int, seq long")
+    assert [r["intact"] for r in L.ledger_range(book, 0, 1, 9).collect()] == [True, True, False]
+    assert L.ledger_range(book, 0, 9, 9, strict=True).collect() == [] and len(L.ledger_range(book, 0, 1, 2, strict=True).collect()) == 2
+    with pytest.raises(Exception, match="lacks sequence 3"):
+        L.ledger_range(book, 0, 1, 9, strict=True).collect()
+    asked = spark.createDataFrame([(0,), (2,), (2,), (7,)], "position long")
+    assert sorted(tuple(r) for r in L.position_findings(asked, 4).collect()) == [(1, "omitted"), (2, "repeated"), (3, "omitted"), (7, "outside")]
+
+
 def test_settings():
     assert [Settings(shards=3, queue=50_000).queue_of(i) for i in range(3)] == [16_667, 16_667, 16_666]
     for bad in ({"shards": 65}, {"batch": 0}, {"queue": 1, "shards": 2}, {"lookups_in_flight": 9}):

@@ -21,6 +21,7 @@ BOUNDS = {
     "watermark_interval": (1, 60 * SECOND),
     "lookup_group": (1, MAX_BATCH),
     "lookups_in_flight": (1, 8),
+    "checkpoint": (0, 1_000_000_000),
 }
 
 
@@ -40,6 +41,8 @@ class Settings:
     watermark_interval: int = SECOND
     lookup_group: int = 256
     lookups_in_flight: int = 4
+    #: Rows of a shard between snapshots of its balances; 0: balances count as stored with each batch.
+    checkpoint: int = 0
 
     def __post_init__(self) -> None:
         for f in fields(self):

@@ -132,11 +132,11 @@ def sequenced(rows: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     return rows.withColumn("seq", F.when(F.col("kind") == "new", F.col("seq")))
 
 
-def applied(requests: DataFrame, stored: DataFrame | None = None, shards: int = SHARDS, limit: int = MAX_U64) -> DataFrame:
+def applied(requests: DataFrame, stored: DataFrame | None = None, shards: int = SHARDS, limit: int = MAX_U64, starts: DataFrame | None = None) -> DataFrame:
     """All requests with kind, status, balance and seq; new rows are the ledger's next ones.
 
     ``stored`` is the ledger so far, whose rows come before: it gives balances, applied debits, used refunds, keys and
-    the last sequence of each shard.
+    the last sequence of each shard. With ``starts`` (shard_id, latest_seq) it may hold the accounts of the requests alone.
     """
     rows = requests
     if stored is not None:
@@ -146,20 +146,36 @@ def applied(requests: DataFrame, stored: DataFrame | None = None, shards: int =
     if stored is None:
         return evaluated(sequenced(rows), limit)
     rows = rows.withColumn("kind", F.when(F.col("_stored"), "stored").otherwise(F.col("kind"))).drop("_stored").withColumnRenamed("seq", "_seq")
-    starts = routed(stored, shards).groupBy("shard_id").agg(F.max("seq").alias("latest_seq"))
+    if starts is None:
+        starts = routed(stored, shards).groupBy("shard_id").agg(F.max("seq").alias("latest_seq"))
     return evaluated(sequenced(rows, starts).withColumn("seq", F.coalesce("seq", "_seq")).drop("_seq"), limit)
 
 
 def replies(requests: DataFrame, stored: DataFrame | None = None, shards: int = SHARDS, limit: int = MAX_U64) -> DataFrame:
     """One reply per request: reply_kind, status, balance, seq, replayed, shard_id. A replay repeats the first result."""
-    out = applied(requests, stored, shards, limit).where("kind <> 'stored'")
+    return replies_of(applied(requests, stored, shards, limit))
+
+
+def replies_of(rows: DataFrame) -> DataFrame:
+    """The replies in applied rows."""
+    out = rows.where("kind <> 'stored'")
     shown = lambda c: F.when(F.col("kind") != "conflict", F.col(c)).alias(c)
     return out.select("arrival_ord", *KEY, "shard_id", F.when(F.col("kind") == "conflict", "conflict").otherwise("transaction").alias("reply_kind"), shown("status"), shown("balance"), shown("seq"), (F.col("kind") == "replay").alias("replayed"))
 
 
 def ledger(requests: DataFrame, stored: DataFrame | None = None, shards: int = SHARDS, limit: int = MAX_U64) -> DataFrame:
     """The new rows: requests with shard_id, seq, status and balance."""
-    return applied(requests, stored, shards, limit).where("kind = 'new'").drop("kind", "first_ord", "repeated")
+    return ledger_of(applied(requests, stored, shards, limit))
+
+
+def ledger_of(rows: DataFrame) -> DataFrame:
+    """The ledger's next rows in applied rows."""
+    return rows.where("kind = 'new'").drop("kind", "first_ord", "repeated")
+
+
+def touched(stored: DataFrame, requests: DataFrame) -> DataFrame:
+    """The stored rows of the requests' accounts, which are all that decide about them."""
+    return stored.join(requests.select("account_id").distinct(), "account_id", "left_semi").select(*stored.columns)
 
 
 def balances(book: DataFrame, order: str = "seq") -> DataFrame:
@@ -179,13 +195,18 @@ def balance_of(known: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.select("account_id").join(known.select("account_id", "balance"), "account_id", "left").select("account_id", F.coalesce("balance", F.lit(0)).alias("balance"))
 
 
-def ledger_range(book: DataFrame, shard: int, first_seq: int, most: int) -> DataFrame:
-    """Rows [first_seq, first_seq + most) of a shard in order, with ``expected_seq``; ``intact`` is false after a gap."""
+def ledger_range(book: DataFrame, shard: int, first_seq: int, most: int, strict: bool = False) -> DataFrame:
+    """Rows [first_seq, first_seq + most) of a shard in order, with ``expected_seq``; ``intact`` is false after a gap, and
+    an error with ``strict``. Beyond the head there are no rows."""
     if first_seq < 1:
         raise ValueError("sequences start at 1")
     rows = book.where((F.col("shard_id") == shard) & F.col("seq").between(first_seq, first_seq + most - 1)).orderBy("seq").limit(most)
     place = F.row_number().over(Window.partitionBy("shard_id").orderBy("seq"))
-    return rows.withColumn("expected_seq", place + F.lit(first_seq - 1)).withColumn("intact", F.col("seq") == F.col("expected_seq"))
+    rows = rows.withColumn("expected_seq", place + F.lit(first_seq - 1)).withColumn("intact", F.col("seq") == F.col("expected_seq"))
+    if strict:
+        problem = F.raise_error(F.concat(F.lit("the ledger lacks sequence "), F.col("expected_seq").cast("string")))
+        rows = rows.withColumn("seq", F.when(F.col("intact"), F.col("seq")).otherwise(problem.cast("long")))
+    return rows
 
 
 def index_get(book: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -205,6 +226,15 @@ def multi_get(book: DataFrame, wanted: DataFrame, chunk: int, in_flight: int = 1
     return index_get(book, wanted).withColumn("chunk", part).withColumn("slot", F.pmod(part, F.lit(in_flight)).cast("int"))
 
 
+def position_findings(positions: DataFrame, n: int) -> DataFrame:
+    """position, finding of the answers to ``n`` lookups: outside of 0 to n - 1, repeated, or omitted. Empty if all is well."""
+    counts = positions.groupBy("position").agg(F.count("*").alias("c"))
+    outside = counts.where(~F.col("position").between(0, n - 1) | F.col("position").isNull()).select("position", F.lit("outside").alias("finding"))
+    repeated = counts.where("c > 1").select("position", F.lit("repeated").alias("finding"))
+    omitted = positions.sparkSession.range(n).select(F.col("id").alias("position")).join(counts, "position", "left_anti").select("position", F.lit("omitted").alias("finding"))
+    return outside.unionByName(repeated).unionByName(omitted)
+
+
 def wallet(requests: DataFrame) -> DataFrame:
     """Credit and debit only: new rows with status, balance, version and write_clock (places among the account's new rows)."""
     rows = evaluated(classified(requests.where("operation <> 'refund'").repartition("account_id"))).where("kind = 'new'")

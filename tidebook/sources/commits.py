@@ -1,7 +1,8 @@
 """Atomic commits without a table format: write a generation's folder, then publish its manifest under a new name.
 
 Readers follow the highest manifest alone, so a writer that dies leaves folders that nobody reads. A commit carries an
-identity; committing the same identity again changes nothing.
+identity; committing the last one again changes nothing. Identities that are to be known for good (``lasting``) are kept
+in the manifest, beside the folders, with the generation that they made.
 """
 
 from __future__ import annotations
@@ -30,22 +31,27 @@ class Store:
         """The last published one: generation, identity, and the folders of each table."""
         found = self._manifests()
         if not found:
-            return {"generation": 0, "identity": None, "tables": {}, "meta": {}}
+            return {"generation": 0, "identity": None, "tables": {}, "meta": {}, "identities": {}}
         stream = self.fs.open(self._path(f"{self.root}/manifests/{found[-1]:020d}"))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
-    def read(self, name: str, schema: T.StructType) -> DataFrame:
-        """All committed rows of a table; none before its first commit."""
-        folders = [f"{self.root}/{x}" for x in self.manifest()["tables"].get(name, [])]
+    def generation_of(self, identity: str) -> int | None:
+        """The generation that a lasting identity made, at any time; None if it wasn't committed."""
+        return self.manifest().get("identities", {}).get(identity)
+
+    def read(self, name: str, schema: T.StructType, generation: int | None = None) -> DataFrame:
+        """All committed rows of a table, or those of one generation; none before its first commit."""
+        folders = [f"{self.root}/{x}" for x in self.manifest()["tables"].get(name, []) if generation is None or x.endswith(f"-{generation:012d}")]
         return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
-    def commit(self, identity: str, append: dict[str, DataFrame], replace: dict[str, DataFrame] | None = None, meta: dict | None = None) -> bool:
-        """Add and replace rows of tables, and small metadata, at once; False if ``identity`` is the last commit's."""
+    def commit(self, identity: str, append: dict[str, DataFrame], replace: dict[str, DataFrame] | None = None, meta: dict | None = None, lasting: bool = False) -> bool:
+        """Add and replace rows of tables, and small metadata, at once; False if ``identity`` is the last commit's, or a
+        lasting one that was committed before."""
         now = self.manifest()
-        if now["identity"] == identity:
+        if now["identity"] == identity or lasting and identity in now.get("identities", {}):
             return False
         n, tables = now["generation"] + 1, {k: list(v) for k, v in now["tables"].items()}
         for name, df in {**append, **(replace or {})}.items():
@@ -55,7 +61,7 @@ class Store:
         draft, final = self._path(f"{self.root}/drafts/{n:020d}"), self._path(f"{self.root}/manifests/{n:020d}")
         self.fs.mkdirs(final.getParent())
         out = self.fs.create(draft, True)
-        out.write(bytearray(json.dumps({"generation": n, "identity": identity, "tables": tables, "meta": now.get("meta", {}) | (meta or {})}).encode()))
+        out.write(bytearray(json.dumps({"generation": n, "identity": identity, "tables": tables, "meta": now.get("meta", {}) | (meta or {}), "identities": now.get("identities", {}) | ({identity: n} if lasting else {})}).encode()))
         out.close()
         if not self.fs.rename(draft, final):
             raise RuntimeError(f"generation {n} was published by another writer")
