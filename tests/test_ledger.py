@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tidebook.operators import ledger as L
 from tidebook.schemas import MAX_U64, requests_type
-from tidebook.streaming.apply import replies_stream, request_stream
+from tidebook.streaming.apply import numbered, replies_stream, request_stream
 
 
 def requests(spark, rows):
@@ -137,7 +137,7 @@ def test_stream_gives_the_same_replies(spark, tmp_path):
         long.where((F.col("arrival_ord") >= a) & (F.col("arrival_ord") < a + 100)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     out = replies_stream(request_stream(spark, str(tmp_path / "in"), long.schema), 3)
     out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
-    assert outcome(spark.read.schema(out.schema).parquet(str(tmp_path / "out"))) == model(rows, 3)
+    assert outcome(numbered(spark.read.schema(out.schema).parquet(str(tmp_path / "out")))) == model(rows, 3)
 
 
 def test_range_reads_and_bounds(spark):

@@ -11,7 +11,7 @@ from tidebook.plans.ledger import ORDERED_APPLY
 from tidebook.plans.registry import query
 from tidebook.sources.derive import RETRY, requests
 from tidebook.sources.shared import shared_dir
-from tidebook.streaming.apply import replies_stream, request_stream
+from tidebook.streaming.apply import numbered, replies_stream, request_stream
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -35,4 +35,4 @@ def stateful_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
         else:
             spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-    return spark.read.schema(out.schema).parquet(f"{root}/out")
+    return numbered(spark.read.schema(out.schema).parquet(f"{root}/out"))
