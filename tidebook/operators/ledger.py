@@ -121,18 +121,18 @@ def evaluated(rows: DataFrame, limit: int = MAX_U64) -> DataFrame:
     return out if numbered else out.drop("seq")
 
 
-def sequenced(rows: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+def sequenced(rows: DataFrame, starts: DataFrame | None = None, dense: bool = False) -> DataFrame:
     """With ``seq``: the place of each row of kind new among those of its shard, rejections included; none for others.
 
-    ``starts`` (shard_id, latest_seq), a row a shard, is where stored sequences end.
+    ``starts`` (shard_id, latest_seq), a row a shard, is where stored sequences end; ``dense`` says that orders lie close.
     """
-    rows = running_sum(rows, ["shard_id"], "arrival_ord", F.when(F.col("kind") == "new", 1).otherwise(0), "seq")
+    rows = running_sum(rows, ["shard_id"], "arrival_ord", F.when(F.col("kind") == "new", 1).otherwise(0), "seq", dense=dense)
     if starts is not None:
         rows = rows.join(F.broadcast(starts.select("shard_id", "latest_seq")), "shard_id", "left").withColumn("seq", F.col("seq") + F.coalesce("latest_seq", F.lit(0))).drop("latest_seq")
     return rows.withColumn("seq", F.when(F.col("kind") == "new", F.col("seq")))
 
 
-def applied(requests: DataFrame, stored: DataFrame | None = None, shards: int = SHARDS, limit: int = MAX_U64, starts: DataFrame | None = None) -> DataFrame:
+def applied(requests: DataFrame, stored: DataFrame | None = None, shards: int = SHARDS, limit: int = MAX_U64, starts: DataFrame | None = None, dense: bool = False) -> DataFrame:
     """All requests with kind, status, balance and seq; new rows are the ledger's next ones.
 
     ``stored`` is the ledger so far, whose rows come before: it gives balances, applied debits, used refunds, keys and
@@ -144,16 +144,16 @@ def applied(requests: DataFrame, stored: DataFrame | None = None, shards: int =
         rows = requests.withColumns({"status": F.lit(None).cast("string"), "balance": F.lit(None).cast(requests.schema["amount"].dataType), "seq": F.lit(None).cast("long"), "_stored": F.lit(False)}).unionByName(past)
     rows = routed(classified(rows.repartition("account_id")), shards)
     if stored is None:
-        return evaluated(sequenced(rows), limit)
+        return evaluated(sequenced(rows, dense=dense), limit)
     rows = rows.withColumn("kind", F.when(F.col("_stored"), "stored").otherwise(F.col("kind"))).drop("_stored").withColumnRenamed("seq", "_seq")
     if starts is None:
         starts = routed(stored, shards).groupBy("shard_id").agg(F.max("seq").alias("latest_seq"))
-    return evaluated(sequenced(rows, starts).withColumn("seq", F.coalesce("seq", "_seq")).drop("_seq"), limit)
+    return evaluated(sequenced(rows, starts, dense).withColumn("seq", F.coalesce("seq", "_seq")).drop("_seq"), limit)
 
 
-def replies(requests: DataFrame, stored: DataFrame | None = None, shards: int = SHARDS, limit: int = MAX_U64) -> DataFrame:
+def replies(requests: DataFrame, stored: DataFrame | None = None, shards: int = SHARDS, limit: int = MAX_U64, dense: bool = False) -> DataFrame:
     """One reply per request: reply_kind, status, balance, seq, replayed, shard_id. A replay repeats the first result."""
-    return replies_of(applied(requests, stored, shards, limit))
+    return replies_of(applied(requests, stored, shards, limit, dense=dense))
 
 
 def replies_of(rows: DataFrame) -> DataFrame:
@@ -163,9 +163,9 @@ def replies_of(rows: DataFrame) -> DataFrame:
     return out.select("arrival_ord", *KEY, "shard_id", F.when(F.col("kind") == "conflict", "conflict").otherwise("transaction").alias("reply_kind"), shown("status"), shown("balance"), shown("seq"), (F.col("kind") == "replay").alias("replayed"))
 
 
-def ledger(requests: DataFrame, stored: DataFrame | None = None, shards: int = SHARDS, limit: int = MAX_U64) -> DataFrame:
+def ledger(requests: DataFrame, stored: DataFrame | None = None, shards: int = SHARDS, limit: int = MAX_U64, dense: bool = False) -> DataFrame:
     """The new rows: requests with shard_id, seq, status and balance."""
-    return ledger_of(applied(requests, stored, shards, limit))
+    return ledger_of(applied(requests, stored, shards, limit, dense=dense))
 
 
 def ledger_of(rows: DataFrame) -> DataFrame:

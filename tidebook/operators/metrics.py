@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidebook.functions.ordering import running_sum
 
-RESERVOIR = 4096
+RESERVOIR, RANGE = 4096, 1_000_000
 
 
 def nearest_rank(column: str, q: float) -> Column:
@@ -23,11 +23,12 @@ def at_ranks(rows: DataFrame, keys: list[str], column: str, ranks: dict[str, Cal
     """Of each group the values of whole-number ``column`` at the ranks that functions of the group's count n name.
 
     Equal values are counted first and ranked by prefix sums over ranges of values, so no task holds or sorts a group,
-    whatever its size. Groups without a value have no row.
+    whatever its size: a task sees at most RANGE values, or as many ranges as a group's values occupy. Groups without a
+    value have no row.
     """
     counts = rows.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("_c"))
     totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n")).select(*(F.col(k).alias(f"_k_{k}") for k in keys), "_n")
-    placed = running_sum(counts, keys, column, F.col("_c"), "_upto").join(totals, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    placed = running_sum(counts, keys, column, F.col("_c"), "_upto", RANGE, dense=True).join(totals, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
     return placed.groupBy(*keys).agg(*(F.min(F.when(F.col("_upto") >= rank(F.col("_n")), F.col(column))).alias(name) for name, rank in ranks.items()))
 
 

@@ -15,7 +15,7 @@ from tidebook.sources.tables import table
 
 def book(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger of all derived requests, committed once per data folder in order of account and key."""
-    return committed(spark, sf_dir, "ledger", "events", lambda: L.ledger(requests(spark, sf_dir)).repartition("account_id").sortWithinPartitions("account_id", "tx_id"))
+    return committed(spark, sf_dir, "ledger", "events", lambda: L.ledger(requests(spark, sf_dir), dense=True).repartition("account_id").sortWithinPartitions("account_id", "tx_id"))
 
 
 def upto(rows: DataFrame, share: str = "head * 3 div 5") -> DataFrame:
@@ -72,7 +72,7 @@ FROM classified c JOIN ledger l ON l.arrival_ord = c.first_ord""",
 
 @query("l03_ordered_apply", ORDERED_APPLY)
 def ordered_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.replies(requests(spark, sf_dir))
+    return L.replies(requests(spark, sf_dir), dense=True)
 
 
 @query("l04_dedup_classify", over(CLASSIFIED, "SELECT arrival_ord, first_ord, kind FROM classified"))
@@ -82,7 +82,7 @@ def dedup_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("l05_shard_sequence", over(LEDGER, "SELECT arrival_ord, CAST(shard_id AS INTEGER) AS shard_id, CASE WHEN kind = 'new' THEN sq END AS seq FROM seqs"))
 def shard_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.sequenced(L.routed(L.classified(requests(spark, sf_dir)))).select("arrival_ord", "shard_id", "seq")
+    return L.sequenced(L.routed(L.classified(requests(spark, sf_dir))), dense=True).select("arrival_ord", "shard_id", "seq")
 
 
 @query("l06_status_evaluation", over(LEDGER, "SELECT operation, status, count(*) AS requests, CAST(sum(amount) AS BIGINT) AS amount FROM ledger GROUP BY 1, 2"))
@@ -158,7 +158,7 @@ def existence_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("l15_latest_seq", over(LEDGER, "SELECT shard_id, max(seq) AS latest_seq FROM ledger GROUP BY 1"))
 def latest_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.sequenced(L.routed(L.classified(requests(spark, sf_dir)))).groupBy("shard_id").agg(F.max("seq").alias("latest_seq"))
+    return L.sequenced(L.routed(L.classified(requests(spark, sf_dir))), dense=True).groupBy("shard_id").agg(F.max("seq").alias("latest_seq"))
 
 
 @query(
