@@ -127,32 +127,57 @@ def _estimated(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFram
     return both.where(F.when(F.col("sure"), decided).otherwise(likely)).select("a", "b", "sure")
 
 
+def _beside(rows: DataFrame, docs: DataFrame, key: str, other: str) -> DataFrame:
+    """``rows`` (key, other, ...) with ``text``, that of the other, after rows without an other that hold the key's text.
+
+    A key's rows are dealt into chunks of about BLOCK by their other: its text travels once a chunk, not once a row, and
+    no task takes all rows of a hot key.
+    """
+    text = docs.select(F.col("doc_id").cast("long").alias("id_"), "text")
+    dealt = rows.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).alias("chunks"))
+    first = dealt.select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")).join(text, F.col(key) == F.col("id_"))
+    others = rows.join(dealt, key).withColumn("chunk", F.pmod(F.xxhash64(other), "chunks")).drop("chunks").join(text, F.col(other) == F.col("id_"))
+    every = others.unionByName(first, allowMissingColumns=True).drop("id_").repartition(key, "chunk")
+    return every.sortWithinPartitions(key, "chunk", F.col(other).asc_nulls_first()).drop("chunk")
+
+
+class _Sets:
+    """Sets of the rows of ``_beside``, batch after batch; of a key it holds the distinct sets of its texts, one as a rule."""
+
+    def __init__(self, key: str, other: str, width: int):
+        self.key, self.other, self.width, self.known = key, other, width, WordHashes()
+        self.at: int | None = None
+        self.of: dict[bytes, np.ndarray] = {}
+
+    def of_rows(self, batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+        """Row number, set and the key's sets of each row that has an other."""
+        columns = (batch.column(self.key), batch.column(self.other), batch.column("text").cast(pa.large_binary()))
+        for i, (key, other, text) in enumerate(zip(*columns, strict=True)):
+            found = shingle_set(text.as_py(), self.width, self.known)
+            if other.is_valid:
+                self.at = None
+                yield i, found, list(self.of.values())
+            else:
+                if self.at != key.as_py():
+                    self.at, self.of = key.as_py(), {}
+                self.of[found.tobytes()] = found
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) whose full sets are as similar as asked. Sizes of a pair's texts are alike, so both may travel."""
+    """Pairs (a, b) whose full sets are as similar as asked."""
     percent = round(100 * similarity)
 
+    def alike(x: np.ndarray, y: np.ndarray) -> bool:
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * common >= percent * (len(x) + len(y) - common) and common > 0
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        sets = _Sets("a", "b", width)
         for batch in batches:
-            a, b = (batch.column(i).cast(pa.large_binary()) for i in (2, 3))
-            keep, last, of = [], None, None
-            for x, y in zip(a, b, strict=True):
-                x, y = x.as_py(), y.as_py()
-                if x != last:
-                    last, of = x, shingle_set(x, width, known)
-                other = shingle_set(y, width, known)
-                common = len(np.intersect1d(of, other, assume_unique=True))
-                keep.append(100 * common >= percent * (len(of) + len(other) - common) and common > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    text = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    with_texts = (
-        pairs.select("a", "b")
-        .join(text.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-        .join(text.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-        .select("a", "b", "ta", "tb")
-    )
-    return with_texts.mapInArrow(run, "a long, b long")
+            keep = [i for i, x, of in sets.of_rows(batch) if any(alike(x, y) for y in of)]
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    return _beside(pairs.select("a", "b"), docs, "a", "b").mapInArrow(run, "a long, b long")
 
 
 def _links(scratch: Scratch, pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int, similarity: float, name: str) -> DataFrame:
@@ -164,28 +189,17 @@ def _links(scratch: Scratch, pairs: DataFrame, reps: DataFrame, texts: DataFrame
 
 def _rests(ball: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """Rows (hub, rep, comp, main, ...) of ``ball`` with n, the set's size, ``part``, what of it the hub holds, and ``rest``."""
-    text = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    rows = ball.join(text.select(F.col("id").alias("rep"), F.col("text").alias("tb")), "rep").join(text.select(F.col("id").alias("hub"), F.col("text").alias("ta")), "hub")
+    columns = ["hub", "rep", "comp", "m", "outside", "out"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, last, of = WordHashes(), None, None
+        sets = _Sets("hub", "rep", width)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                piece = batch.slice(at, 1024)
-                n, part, rest = [], [], []
-                for x, y in zip(piece.column("ta").cast(pa.large_binary()), piece.column("tb").cast(pa.large_binary()), strict=True):
-                    x = x.as_py()
-                    if x != last:
-                        last, of = x, shingle_set(x, width, known)
-                    mine = shingle_set(y.as_py(), width, known)
-                    rest.append(np.setdiff1d(mine, of, assume_unique=True))
-                    n.append(len(mine))
-                    part.append(len(mine) - len(rest[-1]))
-                kept = [piece.column(c) for c in ("hub", "rep", "comp", "m", "outside", "out")]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64()), pa.array(part, pa.int64()), pa.array(rest, pa.list_(pa.int64()))], ["hub", "rep", "comp", "m", "outside", "out", "n", "part", "rest"])
-
-    columns = ["hub", "rep", "comp", "m", "outside", "out", "ta", "tb"]
-    return rows.select(*columns).mapInArrow(run, "hub long, rep long, comp long, m long, outside long, out boolean, n long, part long, rest array<long>")
+            rows = [(i, len(x), np.setdiff1d(x, y, assume_unique=True)) for i, x, of in sets.of_rows(batch) for y in of]
+            kept = batch.select(columns).take(pa.array([i for i, _, _ in rows], pa.int64()))
+            n, part = pa.array([n for _, n, _ in rows], pa.int64()), pa.array([n - len(rest) for _, n, rest in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([*kept.columns, n, part, pa.array([rest for _, _, rest in rows], pa.list_(pa.int64()))], [*columns, "n", "part", "rest"])
+
+    return _beside(ball.select(*columns), docs, "hub", "rep").mapInArrow(run, "hub long, rep long, comp long, m long, outside long, out boolean, n long, part long, rest array<long>")
 
 
 def _compare_block(similarity: float):
@@ -253,7 +267,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, simila
     listed = scratch.keep(_prefixes(full, similarity), "lists")
     hubs = listed.groupBy("value").agg(F.max_by("rep", F.struct("weight", F.negative("rep"))).alias("hub"))
     ball = scratch.keep(listed.join(hubs, "value").select("hub", "rep").distinct(), "hubs")
-    star = ball.where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    # of two classes only the better connected can be the other's hub, so no pair comes twice
+    star = ball.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
     links = _links(scratch, star, full, docs, width, similarity, "star")
     labels = components(spark, scratch, links)
     more = _rest(scratch, ball, labels, docs, width, similarity)
