@@ -133,7 +133,7 @@ def _beside(rows: DataFrame, docs: DataFrame, key: str, other: str) -> DataFrame
     A key's rows are dealt into chunks of about BLOCK by their other: its text travels once a chunk, not once a row, and
     no task takes all rows of a hot key.
     """
-    text = docs.select(F.col("doc_id").cast("long").alias("id_"), "text")
+    text = docs.select(F.col("doc_id").alias("id_"), "text")
     dealt = rows.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).alias("chunks"))
     first = dealt.select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")).join(text, F.col(key) == F.col("id_"))
     others = rows.join(dealt, key).withColumn("chunk", F.pmod(F.xxhash64(other), "chunks")).drop("chunks").join(text, F.col(other) == F.col("id_"))
@@ -269,10 +269,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, simila
     ball = scratch.keep(listed.join(hubs, "value").select("hub", "rep").distinct(), "hubs")
     # of two classes only the better connected can be the other's hub, so no pair comes twice
     star = ball.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-    links = _links(scratch, star, full, docs, width, similarity, "star")
+    # whole texts are dealt once; what follows takes those of balls alone
+    held = star.select(F.col("a").alias("doc_id")).union(star.select("b")).distinct()
+    texts = scratch.keep(docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(held, "doc_id"), "texts")
+    links = _links(scratch, star, full, texts, width, similarity, "star")
     labels = components(spark, scratch, links)
-    more = _rest(scratch, ball, labels, docs, width, similarity)
-    more = _links(scratch, more, full, docs, width, similarity, "rest")
+    more = _rest(scratch, ball, labels, texts, width, similarity)
+    more = _links(scratch, more, full, texts, width, similarity, "rest")
     if not is_empty(more):
         labels = components(spark, scratch, links.unionByName(more))
     scratch.clear(one, reps, labels)
