@@ -269,8 +269,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, simila
     ball = scratch.keep(listed.join(hubs, "value").select("hub", "rep").distinct(), "hubs")
     # of two classes only the better connected can be the other's hub, so no pair comes twice
     star = ball.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-    # whole texts are dealt once; what follows takes those of balls alone
-    held = star.select(F.col("a").alias("doc_id")).union(star.select("b")).distinct()
+    # whole texts are dealt at most once; what follows takes those of balls alone. Ids are a table, whose size is known
+    # when the join is planned
+    held = scratch.keep(star.select(F.col("a").alias("doc_id")).union(star.select("b")).distinct(), "held")
     texts = scratch.keep(docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(held, "doc_id"), "texts")
     links = _links(scratch, star, full, texts, width, similarity, "star")
     labels = components(spark, scratch, links)
